@@ -43,6 +43,14 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def make_room(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with columns that bear one of ``names`` renamed by underscores, so that results can take those names."""
+    for c in df.columns:
+        if c.lower() in names:
+            df = df.withColumnRenamed(c, free_name(df, c + "_"))
+    return df
+
+
 def running_sum(df: DataFrame, part: list[str], order: list[str | Column], value: Column, out: str, salt: Column, salts: int) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same ``part`` that come before, this row excluded.
 

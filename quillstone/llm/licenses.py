@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import make_room, table
 
 # Licence notices in general use, each with its SPDX name.
 NOTICES = (
@@ -124,9 +124,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", lice
     one digest go to the smallest name. Repeated rows get equal results. Lines of 12 to 20,000 characters need no
     special case: every line of every text is looked up. Columns already named like a result get an underscore.
     """
-    for c in ("license_id", "notices", "n_notices"):
-        if c in docs.columns:
-            docs = docs.withColumnRenamed(c, free_name(docs, c + "_"))
+    docs = make_room(docs, "license_id", "notices", "n_notices", "digest")
     table_ = F.broadcast(known(docs.sparkSession)) if licenses is None else licenses
     lines = docs.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__h"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("__line"))
     hits = lines.where(F.trim("__line") != "").withColumn("digest", F.sha2(canonical(F.col("__line")), 256)).join(table_, "digest")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, free_name, running_sum, table
+from .common import durable, make_room, running_sum, table
 
 #: Repeating weights of the sources in the order of their names.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -83,12 +83,9 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", key: str
     repeated keys are separate documents. An empty table gives an empty table. Columns of ``docs`` that bear a
     result's name are kept under that name plus an underscore.
     """
-    for c in ("size", "source_size", "target", "rate", "copies"):
-        if c in docs.columns:
-            docs = docs.withColumnRenamed(c, free_name(docs, c + "_"))
-            source, key = (free_name(docs, c) if x == c else x for x in (source, key))
-    src = free_name(docs, "__source")
-    docs = docs.withColumns({"size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), src: F.col(source).cast("string")})
+    src = "__source"
+    docs = docs.withColumns({"__size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), src: F.col(source).cast("string"), "__key": F.col(key)})
+    docs, key = make_room(docs, "size", "source_size", "target", "rate", "copies").withColumnRenamed("__size", "size"), "__key"
     hist = durable(docs.groupBy(F.col(src).alias("source"), "size").agg(F.count("*").alias("docs")), "mix-hist")
     per = hist.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("docs"))).alias("with_words"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     goal = targets(per.select("source", "source_size"), weights, cap)
@@ -123,7 +120,7 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", key: str
     salt = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(SALTS))
     ranked = running_sum(rows, [src, "size"], [F.xxhash64(F.col(key), F.lit(11)), F.col(key)], F.lit(1), "__rank", salt, SALTS)
     copies = (F.col("least") + F.when(F.col("__rank") < F.col("more"), 1).otherwise(0)).cast("int")
-    return ranked.withColumn("copies", copies).drop("least", "more", "__rank", src)
+    return ranked.withColumn("copies", copies).drop("least", "more", "__rank", "__key", src)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

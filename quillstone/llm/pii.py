@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import free_name, make_room, table
 
 THRESHOLD = 0.5
 #: Characters on each side of a span in which context words count, and what one adds or takes.
@@ -149,8 +149,7 @@ def find_pii(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame
     so repeated rows get equal results and an empty table stays empty; there is no shuffle. A column already
     named ``out`` keeps its content under that name plus an underscore.
     """
-    if out in docs.columns:
-        docs = docs.withColumnRenamed(out, free_name(docs, out + "_"))
+    docs = make_room(docs, out)
     t = F.coalesce(F.col(text), F.lit(""))
     kinds = (*BASE_KINDS, *ADDED_KINDS)
     found = F.concat(*[spans_of(t, k, i) for i, k in enumerate(kinds)])

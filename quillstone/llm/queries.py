@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, mixing, pii
+from . import bpe, licenses, mixing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mix_sources": mixing.op1,
         "op3_pii": pii.op3,
         "op7_licenses": licenses.op7,
+        "op8_bpe": bpe.op8,
+        "op10_shards": sharding.op10,
     }
 
 
