@@ -14,7 +14,6 @@ encoding; a token that ends here is right if the state at its start has an arc f
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, make_room, table
+from .common import arrow_columns, table
 
 #: The split before the merges, as byte-level tokenizers define it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -161,21 +160,6 @@ def automaton(path: str) -> Automaton:
     return _LOADED[path]
 
 
-def _appended(docs: DataFrame, column: str, out: str, kind: T.DataType, path: str, work) -> DataFrame:
-    """``docs`` with ``out`` made by ``work(automaton, Arrow column)``, batch by batch."""
-    docs = make_room(docs, out)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, kind)])
-    at = docs.columns.index(column)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = automaton(path)
-        for batch in batches:
-            made = work(auto, batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, out])
-
-    return docs.mapInArrow(run, schema)
-
-
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with ``out``, the token ids of ``text`` as an array of ints.
 
@@ -184,21 +168,23 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     themselves. ``path`` is a vocabulary file that every worker can read. A column already named ``out`` gets an underscore.
     """
 
-    def work(auto: Automaton, texts: pa.Array) -> pa.Array:
+    def work(texts: pa.Array) -> list[pa.Array]:
+        auto = automaton(path)
         parts = [auto.encode(t) if t else b"" for t in texts.to_pylist()]
         ends = np.cumsum([0, *(len(p) // 4 for p in parts)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"), pa.int32()))
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), dtype="<i4"), pa.int32()))]
 
-    return _appended(docs, text, out, T.ArrayType(T.IntegerType()), path, work)
+    return arrow_columns(docs, text, [T.StructField(out, T.ArrayType(T.IntegerType()))], work)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with ``out``, the text of the token ids; null ids give the empty text, unknown ids an error."""
 
-    def work(auto: Automaton, lists: pa.Array) -> pa.Array:
-        return pa.array([auto.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in lists], pa.string())
+    def work(lists: pa.Array) -> list[pa.Array]:
+        auto = automaton(path)
+        return [pa.array([auto.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in lists], pa.string())]
 
-    return _appended(docs, ids, out, T.StringType(), path, work)
+    return arrow_columns(docs, ids, [T.StructField(out, T.StringType())], work)
 
 
 def public_path() -> str:

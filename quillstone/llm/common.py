@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,5 +99,35 @@ def components(edges: DataFrame, name: str, kind: str = "bigint") -> DataFrame:
         labels = labels.select("node", "root")
 
 
+def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``docs`` with ``fields`` appended, made from ``column`` batch by batch in Python workers; no shuffle.
+
+    Columns that bear the names of ``fields`` are renamed by underscores.
+    """
+    docs = docs.withColumn("__in", F.col(column))
+    docs = make_room(docs, *[f.name for f in fields])
+    names = [c for c in docs.columns if c != "__in"]
+    schema = T.StructType([*[docs.schema[c] for c in names], *fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = work(batch.column(len(names)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *(f.name for f in fields)])
+
+    return docs.select(*[F.col(f"`{c}`") for c in names], "__in").mapInArrow(run, schema)
+
+
+def sample_by_group(docs: DataFrame, group: str, key: str, most: int, where: Column) -> DataFrame:
+    """About ``most`` rows for each value of ``group``: those whose hashed ``key`` is lowest; ``where`` limits the rows.
+
+    The thresholds come from the keys alone, so no text is shuffled. Equal keys share a hash and are taken together.
+    """
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(29))
+    keys = docs.where(where).select(F.col(group).alias("__g"), h.alias("__h"))
+    first = keys.withColumn("__n", F.row_number().over(Window.partitionBy("__g").orderBy("__h"))).where(F.col("__n") <= most)
+    limits = first.groupBy("__g").agg(F.max("__h").alias("__most"))
+    return docs.where(where).join(limits, F.col(group) == F.col("__g")).where(h <= F.col("__most")).drop("__g", "__most")
+
+
 def long_schema(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, T.LongType()) for n in names])

@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, pii, sharding
+from . import bpe, language, licenses, mixing, pii, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mix_sources": mixing.op1,
         "op3_pii": pii.op3,
+        "op5_language": language.op5,
         "op7_licenses": licenses.op7,
         "op8_bpe": bpe.op8,
+        "op9_quality": quality.op9,
         "op10_shards": sharding.op10,
     }
 
