@@ -3,12 +3,12 @@
 The automaton reads tokens and accepts exactly the sequences that byte-pair encoding produces. It starts as one state
 with a loop for every byte and takes the merges one after another, each by the same gadget: for ``u v -> w``, what
 follows ``u`` becomes a copy of its state without an arc for ``v``, and ``w`` gets an arc from wherever ``u`` has
-one to where ``v`` led. After ``u`` the state depends on ``u`` alone, so a gadget adds one state and one label. Copies share
-their parent: a state is its parent, the token it lost and when, and an arc for ``w`` stands where ``u`` had one when
-``w`` was made. Arcs asked for are entered in a transition table.
+one to a copy of where ``v`` led. After ``u`` the state depends on ``u`` alone, so there is a state for each token and a gadget
+writes down three things: what ``u`` lost and when, whose state ``w`` copied, and whose arcs ``w`` took over. An arc stands if
+nothing on those chains had been lost by then; arcs asked for are entered in a transition table.
 
-A pre-split word is encoded by reading its bytes once. The state after each prefix is known, because every prefix has one
-encoding; a token that ends here is right if the state at its start has an arc for it. Decoding emits the labels of the arcs.
+A pre-split word is encoded by following its arcs from the start state to its last byte; there is one such path. Decoding
+emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from .common import arrow_columns, table
 #: The split before the merges, as byte-level tokenizers define it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Entries of a worker's word table and of its transition table; a full table is emptied. Longer words are not kept.
-WORDS_KEPT, ARCS_KEPT, LONGEST_KEPT = 250_000, 1_000_000, 48
+WORDS_KEPT, ARCS_KEPT, LONGEST_KEPT = 250_000, 250_000, 48
 
 
 def byte_letters() -> dict[str, int]:
@@ -38,6 +38,22 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class _Words(dict):
+    """Encoded words, made when asked for."""
+
+    def __init__(self, auto: Automaton) -> None:
+        super().__init__()
+        self.auto = auto
+
+    def __missing__(self, word: str) -> bytes:
+        ids = b"".join(map(self.auto.packed.__getitem__, self.auto.encode_word(word.encode())))
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Automaton:
     """The automaton of a vocabulary file, and encoding and decoding by it."""
 
@@ -54,74 +70,81 @@ class Automaton:
         self.ids = {self.labels[i]: i for i in vocab.values()}
         self.longest = max(map(len, self.ids))
         self._build([m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]], vocab)
+        self.packed = [np.int32(i).astype("<i4").tobytes() for i in range(len(self.labels))]
         self.splitter = regex.compile(SPLIT)
         self.cutter = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.arcs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, bytes] = {}
+        self.arcs: dict[int, bool] = {}
+        self.words = _Words(self)
 
     def _build(self, merges: list[list[str]], vocab: dict[str, int]) -> None:
         n = len(self.labels)
-        #: of a state: the state it copies, the token it lost, and the merge that made it
-        self.parent, self.lost, self.made = [-1], [-1], [-1]
-        #: of a token: the state after it, the token whose arcs it took over, the merge that made it, and up to when
-        #: arcs for that token must have stood: equal halves go to the left first, so that "u" has lost "u u" too
-        self.after, self.took, self.born, self.until = [0] * n, [-1] * n, [-1] * n, [-1] * n
+        #: (token, token) to the merge from which on the state after the first has no arc for the second
+        self.lost: dict[int, int] = {}
+        #: of a token: the one whose state its own was copied from, the one whose arcs it took over, the merge that made it,
+        #: and up to when arcs for that token must have stood: equal halves go to the left first, so "u" has lost "u u" too
+        self.copied, self.took, self.born, self.until = [-1] * n, [-1] * n, [-1] * n, [-1] * n
         for time, (left, right) in enumerate(merges):
             u, v, w = vocab[left], vocab[right], vocab[left + right]
             if self.born[w] >= 0:
                 raise ValueError(f"two merges make {left + right!r}")
-            self.after[w], self.took[w], self.born[w], self.until[w] = self.after[v], u, time, time + (u == v)  # before u loses v: u may be v
-            self.parent.append(self.after[u])
-            self.lost.append(v)
-            self.made.append(time)
-            self.after[u] = len(self.parent) - 1
-
-    def arc(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc for ``token``: from the transition table, worked out at the first use."""
-        key = (state, token)
-        found = self.arcs.get(key)
-        if found is None:
-            # token y of the chain w, its u, that one's u, ... must still have been there when the one before it was made
-            until, y = {}, token
-            limit = len(self.labels) + len(self.parent)
-            while y >= 0:
-                until[y] = limit
-                limit, y = self.until[y], self.took[y]
-            found, s = True, state
-            while s > 0:
-                if self.made[s] < until.get(self.lost[s], -1):
+            self.lost[u * n + v] = time
+            self.copied[w], self.took[w], self.born[w], self.until[w] = v, u, time, time + (u == v)
+        #: whether the start state has an arc for a token: it is a byte, or a merge makes it
+        self.stands = [self.born[i] >= 0 or len(self.labels[i]) == 1 for i in range(n)]
+
+    def arc(self, after: int, token: int) -> bool:
+        """Whether the state after a token has an arc for ``token``; entered in the transition table."""
+        n, lost, copied, born = len(self.labels), self.lost, self.copied, self.born
+        found, y, y_until = True, token, n
+        # the arc stands if none of what it was taken over from had been lost when that was done, neither by the
+        # state itself nor by those it was copied from when they were copied
+        while y >= 0 and found:
+            z, z_until = after, n
+            while z >= 0:
+                time = lost.get(z * n + y)
+                if time is not None and time < y_until and time < z_until:
                     found = False
                     break
-                s = self.parent[s]
-            if len(self.arcs) >= ARCS_KEPT:
-                self.arcs.clear()
-            self.arcs[key] = found
+                z_until, z = born[z], copied[z]
+            y_until, y = self.until[y], self.took[y]
+        if len(self.arcs) >= ARCS_KEPT:
+            self.arcs.clear()
+        self.arcs[after * n + token] = found
         return found
 
     def encode_word(self, word: bytes) -> list[int]:
-        """The ids of a pre-split word."""
-        whole = self.ids.get(word)
-        if whole is not None and len(word) == 1:
-            return [whole]
-        ids, after, longest, arc = self.ids, self.after, self.longest, self.arc
-        last = [-1] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            for start in range(max(0, end - longest), end):
+        """The ids of a pre-split word.
+
+        The automaton is followed with the longest token that it has an arc for. Every prefix has one encoding, so a place
+        in the word is always reached in the same state, and one that leads nowhere is left for good.
+        """
+        ids, arcs, stands, n, longest, tokens = self.ids, self.arcs, self.stands, len(word), self.longest, len(self.labels)
+        path: list[int] = []
+        ends: list[int] = []
+        start, end, last, dead = 0, min(n, longest), 0, set()
+        while start < n:
+            while end > start:
                 t = ids.get(word[start:end])
-                if t is not None and (start == 0 or arc(after[last[start]], t)) and self._stands(t):
-                    last[end] = t
-                    break
+                if t is not None and stands[t] and end not in dead:
+                    found = arcs.get(last * tokens + t) if start else True
+                    if found is None:
+                        found = self.arc(last, t)
+                    if found:
+                        break
+                end -= 1
+            if end > start:
+                path.append(t)
+                ends.append(end)
+                start, end, last = end, min(n, end + longest), t
+            elif path:
+                dead.add(start)
+                path.pop()
+                end = ends.pop() - 1
+                start = ends[-1] if ends else 0
+                last = path[-1] if path else 0
             else:
                 raise ValueError("a byte is not in the vocabulary")
-        out, end = [], len(word)
-        while end:
-            out.append(last[end])
-            end -= len(self.labels[last[end]])
-        return out[::-1]
-
-    def _stands(self, token: int) -> bool:
-        """Whether the start state has an arc for ``token``; a token that no merge makes has one only if it is a byte."""
-        return self.born[token] >= 0 or len(self.labels[token]) == 1
+        return path
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit little-endian integers."""
@@ -133,17 +156,7 @@ class Automaton:
         return b"".join(parts)
 
     def _encode(self, text: str) -> bytes:
-        words, out = self.words, []
-        for w in self.splitter.findall(text):
-            ids = words.get(w)
-            if ids is None:
-                ids = np.array(self.encode_word(w.encode()), dtype="<i4").tobytes()
-                if len(w) <= LONGEST_KEPT:
-                    if len(words) >= WORDS_KEPT:
-                        words.clear()
-                    words[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, self.splitter.findall(text)))
 
     def decode(self, ids: list[int]) -> str:
         """The text that the labels of ``ids`` spell; bytes that are no UTF-8 become U+FFFD."""
