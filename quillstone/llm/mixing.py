@@ -49,9 +49,9 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float =
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy()
     left = F.sum("source_size").over(whole) - cap * F.coalesce(F.sum("source_size").over(upto), F.lit(0))
-    rows = rows.withColumn("level", left / F.sum("weight").over(rest))
+    rows = rows.withColumn("level", left / F.sum("weight").over(rest)).withColumn("place", F.row_number().over(order))
     # the first source, in that order, that is not capped fixes the level of all later ones
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", F.col("level").alias("at")))).over(whole)
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("place", F.col("level").alias("at")))).over(whole)
     rows = rows.withColumn("at", level["at"])
     return rows.select("source", "source_size", F.coalesce(F.least(cap * F.col("source_size").cast("double"), F.col("weight") * F.col("at")), F.lit(0.0)).alias("target"))
 
@@ -114,13 +114,13 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", key: str
     offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     total = F.floor(F.col("before") + F.col("mass") + offset) - F.floor(F.col("before") + offset)
     total = F.when(F.col("size") == 0, F.col("docs")).otherwise(F.greatest(F.lit(0), F.least(F.col("docs") * cap, total)))
-    plan = rated.select(F.col("source").alias("s"), F.col("size").alias("n"), "source_size", "target", "rate", F.floor(total / F.col("docs")).alias("least"), F.pmod(total, F.col("docs")).alias("more"))
+    plan = rated.select(F.col("source").alias("__s"), F.col("size").alias("__n"), "source_size", "target", "rate", F.floor(total / F.col("docs")).alias("__least"), F.pmod(total, F.col("docs")).alias("__more"))
     plan = durable(plan, "mix-plan")
-    rows = docs.join(plan, docs[src].eqNullSafe(F.col("s")) & (F.col("size") == F.col("n"))).drop("s", "n")
+    rows = docs.join(plan, docs[src].eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n"))).drop("__s", "__n")
     salt = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(SALTS))
     ranked = running_sum(rows, [src, "size"], [F.xxhash64(F.col(key), F.lit(11)), F.col(key)], F.lit(1), "__rank", salt, SALTS)
-    copies = (F.col("least") + F.when(F.col("__rank") < F.col("more"), 1).otherwise(0)).cast("int")
-    return ranked.withColumn("copies", copies).drop("least", "more", "__rank", "__key", src)
+    copies = (F.col("__least") + F.when(F.col("__rank") < F.col("__more"), 1).otherwise(0)).cast("int")
+    return ranked.withColumn("copies", copies).drop("__least", "__more", "__rank", "__key", src)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
