@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,16 +24,17 @@ from .common import arrow_columns, sample_by_group, table
 
 #: The bounded sample that languages are learned from: labelled documents for each language, the longest
 #: that is taken, the letters of different words for each language, and the languages (the most frequent ones).
-SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_LETTERS, LANGUAGES = 300, 20_000, 120_000, 64
+SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_LETTERS, LANGUAGES = 300, 20_000, 40_000, 64
 #: Bits for a letter that a language doesn't have.
 UNKNOWN_BITS = 24.0
 WORDS_KEPT, LONGEST_KEPT = 250_000, 48
 UNDETERMINED = "und"
-_WORD = regex.compile(r"\p{L}+")
+#: Runs of letters, and of numbers that are no digits; what holds no letter is left out when its cost is worked out.
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class SuffixAutomaton:
-    """All substrings of a text; transitions are one table keyed by state and letter."""
+    """All substrings of a text, as a deterministic automaton."""
 
     def __init__(self, text: str) -> None:
         link, length, edges = [-1], [0], [{}]
@@ -61,68 +62,66 @@ class SuffixAutomaton:
                 edges[p][c] = copy
                 p = link[p]
             link[q] = link[at] = copy
-        self.steps = {(s << 21) | ord(c): t for s, out in enumerate(edges) for c, t in out.items()}
+        # a state is from now on the table of its letters, which leads to the next state's table itself
+        for out in edges:
+            for c, t in out.items():
+                out[c] = edges[t]
+        self.root = edges[0]
 
     def parse(self, word: str) -> tuple[int, int]:
         """Phrases of the greedy parse of ``word``, and how many letters of it the text doesn't have."""
-        steps, phrases, unknown, at, n = self.steps, 0, 0, 0, len(word)
-        codes = [ord(c) for c in word]
-        while at < n:
-            state, start = 0, at
-            while at < n:
-                to = steps.get((state << 21) | codes[at])
-                if to is None:
-                    break
-                state = to
-                at += 1
-            if at == start:
+        root, state, phrases, unknown = self.root, None, 0, 0
+        for c in word:
+            if state is not None:
+                state = state.get(c)
+                if state is not None:
+                    continue
+            state = root.get(c)  # a new phrase starts with this letter
+            if state is None:
                 unknown += 1
-                at += 1
             else:
                 phrases += 1
         return phrases, unknown
 
 
-class Model:
-    """Languages and their automata, with the costs of words met so far."""
+class Model(dict):
+    """Languages and their automata; as a dict, the rows in ``costs`` of the words met so far."""
 
     def __init__(self, texts: dict[str, str]) -> None:
+        super().__init__()
         self.languages = sorted(texts)
         self.automata = [SuffixAutomaton(texts[x]) for x in self.languages]
         self.bits = [math.log2(max(2, len(texts[x]))) for x in self.languages]
-        self.clear()
+        self.restart()
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.costs = np.zeros((1024, len(self.languages)))
-
-    def cost(self, word: str) -> list[float]:
-        parsed = [a.parse(f" {word} ") for a in self.automata]
-        return [p * b + u * UNKNOWN_BITS for (p, u), b in zip(parsed, self.bits, strict=True)]
-
-    def totals(self, words: list[str]) -> np.ndarray:
-        at, ids, more = self.at, [], 0.0
-        if len(at) + len(words) > WORDS_KEPT and len(at) > WORDS_KEPT // 2:
-            self.clear()
-            at = self.at
-        for w in words:
-            i = at.get(w)
-            if i is None:
-                if len(w) > LONGEST_KEPT or len(at) >= WORDS_KEPT:
-                    more = more + np.array(self.cost(w))
-                    continue
-                i = at[w] = len(at)
-                if i >= len(self.costs):
-                    self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
-                self.costs[i] = self.cost(w)
-            ids.append(i)
-        return self.costs[np.array(ids, dtype=np.int64)].sum(axis=0) + more
+    def restart(self) -> None:
+        """Forgets all words. Row 0 is for what holds no letter."""
+        self.clear()
+        self.costs = np.zeros((4096, len(self.languages)))
+        self.rows = 1
+
+    def __missing__(self, word: str) -> int:
+        if not any(map(str.isalpha, word)):
+            return 0
+        at = self.rows
+        if at >= len(self.costs):
+            self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
+        spaced = f" {word} "
+        self.costs[at] = [p * b + u * UNKNOWN_BITS for (p, u), b in zip([a.parse(spaced) for a in self.automata], self.bits, strict=True)]
+        self.rows += 1
+        if len(word) <= LONGEST_KEPT:
+            self[word] = at
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = _WORD.findall(text.lower()) if text else []
-        if not words or not self.languages:
+        at = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        n = np.count_nonzero(at)
+        if not n or not self.languages:
             return UNDETERMINED, 0.0
-        bits = self.totals(words) / len(words)
+        bits = self.costs[at].sum(axis=0) / n
+        if self.rows > WORDS_KEPT:  # the table holds this text's words on top
+            self.restart()
         best = int(bits.argmin())
         return self.languages[best], float(1.0 / np.exp2(np.minimum(bits[best] - bits, 0.0)).sum())
 
