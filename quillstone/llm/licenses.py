@@ -101,7 +101,7 @@ def canonical(text: Column) -> Column:
     """The canonical form of a text: the same for texts that differ only where licences may."""
     t = F.lower(text)
     # a copyright line names holders and years, or is the sign alone; the words of a licence itself stay
-    holds = F.contains(t, F.lit("copyright")) | F.contains(t, F.lit("(c)")) | F.contains(t, F.lit("©"))
+    holds = text.rlike(r"(?i)copyright|\(c\)|©")
     t = F.when(holds, F.regexp_replace(t, r"(?m)^[^\S\n]*+(?:copyright[^\S\n]+(?:\(c\)|©|[0-9])|\(c\)|©)[^\n]*+$", "")).otherwise(t)
     t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"[!-/:-@\[-`{-~‘’“”«»–—…\s]++", " ")
     t = F.concat(F.lit(" "), t, F.lit(" "))
@@ -127,9 +127,11 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", lice
     docs = make_room(docs, "license_id", "notices", "n_notices", "digest")
     table_ = F.broadcast(known(docs.sparkSession)) if licenses is None else licenses
     lines = docs.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__h"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("__line"))
-    hits = lines.where(F.trim("__line") != "").withColumn("digest", F.sha2(canonical(F.col("__line")), 256)).join(table_, "digest")
+    # never null, so that the join adds no filter on it, which would work out the digest a second time
+    digest = lambda c: F.coalesce(F.sha2(canonical(F.col(c)), 256), F.lit(""))
+    hits = lines.where(F.trim("__line") != "").withColumn("digest", digest("__line")).join(table_, "digest")
     hits = hits.groupBy("__k", "__h").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
-    whole = docs.withColumn("digest", F.when(F.trim(text) != "", F.sha2(canonical(F.col(text)), 256))).join(table_, "digest", "left").drop("digest")
+    whole = docs.withColumn("digest", F.when(F.trim(text) != "", digest(text))).join(table_, "digest", "left").drop("digest")
     found = whole.withColumn("__h", F.xxhash64(text)).alias("d").join(hits.withColumnRenamed("__h", "__h2"), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__h2")), "left").drop("__k", "__h", "__h2")
     return found.withColumn("notices", F.coalesce("notices", F.array().cast("array<string>"))).withColumn("n_notices", F.size("notices").cast("long"))
 
