@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import raster
+from quillstone.plans import raster, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (raster,):
+for _module in (retrieval, raster):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
