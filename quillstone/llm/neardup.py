@@ -7,8 +7,10 @@ as soon as its next arrival is later than all positions of its document (early t
 
 Bands of the signature make candidates. In each bucket the most central document, the one whose buckets hold most
 documents, is compared with every other, so a bucket of n documents costs n comparisons and not n squared. A second pass
-compares documents that share a bucket but whose classes are still apart, so no candidate pair is left out. All
-candidates are verified on whole texts: exact Jaccard of the shingle sets of at least 0.8. Classes are the connected components.
+looks at documents that share a bucket but whose classes are still apart. Of those pairs it leaves out only what cannot reach the
+similarity: by a bound from what both share with the bucket's centre, or because their signatures agree in too few positions
+(three standard deviations below 0.8). All others are verified on whole texts: exact Jaccard of the shingle sets of at least
+0.8. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import arrow_columns, components, durable, free_name, table
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 0.0007.
 BANDS, ROWS = 24, 6
+#: Positions of two signatures that must agree for a pair of the second pass: 0.8 less three standard deviations.
+AGREE = 100
 #: Word hashes that a worker keeps, and shingles that are signed together.
 WORDS_KEPT, TOGETHER = 300_000, 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -97,8 +101,15 @@ def bands(signatures: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarra
     return out.view(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """The low byte of each position, eight to a number; equal bytes count the positions that agree."""
+    low = (signatures & np.uint64(0xFF)).astype(np.uint8)
+    return np.ascontiguousarray(np.pad(low, ((0, 0), (0, -low.shape[1] % 8)))).view(np.int64)
+
+
 def _bands_of(texts: pa.Array) -> list[pa.Array]:
     parts: list[np.ndarray] = []
+    marks: list[np.ndarray] = []
     ends = [0]
     held: list[np.ndarray] = []
     total = 0
@@ -106,7 +117,9 @@ def _bands_of(texts: pa.Array) -> list[pa.Array]:
     def flush() -> None:
         nonlocal total
         if held:
-            parts.append(bands(sign(held)).ravel())
+            signed = sign(held)
+            parts.append(bands(signed).ravel())
+            marks.append(sketches(signed).ravel())
         held.clear()
         total = 0
 
@@ -119,36 +132,49 @@ def _bands_of(texts: pa.Array) -> list[pa.Array]:
             if total >= TOGETHER:
                 flush()
     flush()
-    flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
-    return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))]
+    flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64())
+    lists = lambda width, x: pa.ListArray.from_arrays(pa.array([e // BANDS * width for e in ends], pa.int32()), flat(x))
+    return [lists(BANDS, parts), lists(-(-BANDS * ROWS // 8), marks)]
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Similarity of two sorted arrays without repeats; 0 if either is empty."""
-    if not len(a) or not len(b):
-        return 0.0
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two sorted arrays without repeats have in common."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
-    shared = int((both[1:] == both[:-1]).sum())
-    return shared / (len(a) + len(b) - shared)
+    return int((both[1:] == both[:-1]).sum())
 
 
-def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts reach the similarity. ``texts`` (node, text) meets each side in turn, by one shuffle of it."""
+def _measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the shingles of each, na and nb, and those in common. ``texts`` (node, text) meets each side in turn."""
     one = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", F.struct("b", "left", "right").alias("__both"))
+    two = one.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b").select("a", "b", F.struct("left", "right").alias("__both"))
 
     def work(column: pa.Array) -> list[pa.Array]:
         out, kept, kept_text = [], np.zeros(0, dtype=np.uint64), None
-        left, right = column.field("left").to_pylist(), column.field("right").to_pylist()
-        for x, y in zip(left, right, strict=True):
+        for x, y in zip(column.field("left").to_pylist(), column.field("right").to_pylist(), strict=True):
             if y != kept_text:  # pairs with one centre follow one another
                 kept, kept_text = np.unique(shingles(y)), y
-            out.append(jaccard(np.unique(shingles(x)), kept) >= SIMILARITY - 1e-12)
-        return [pa.array(out, pa.bool_())]
+            own = np.unique(shingles(x))
+            out.append((len(own), len(kept), shared(own, kept)))
+        return [pa.array([v[i] for v in out], pa.int64()) for i in range(3)]
+
+    return arrow_columns(two, "__both", [T.StructField(n, T.LongType()) for n in ("na", "nb", "common")], work).select("a", "b", "na", "nb", "common")
+
+
+def _similar(common: Column, na: Column, nb: Column) -> Column:
+    return common >= F.lit(SIMILARITY) * (na + nb - common) - F.lit(1e-9)
+
 
-    same = arrow_columns(two, "__both", [T.StructField("same", T.BooleanType())], work)
-    return same.where("same").select("a", "b").distinct()
+def agreeing(x: Column, y: Column) -> Column:
+    """Equal bytes of two sketches: a byte of the difference is folded into its lowest bit."""
+    total = None
+    for i in range(-(-BANDS * ROWS // 8)):
+        z = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        for step in (4, 2, 1):
+            z = z.bitwiseOR(F.call_function("shiftrightunsigned", z, F.lit(step)))
+        same = F.lit(8) - F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+        total = same if total is None else total + same
+    return total
 
 
 def node_of(key: str, text: str) -> Column:
@@ -165,34 +191,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     source = docs.select(node_of(key, text).alias("node"), F.col(text).alias("text"))
     hashed = source.select("node", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(41)).alias("h2"), "text")
-    rows = durable(arrow_columns(hashed, "text", [T.StructField("bands", T.ArrayType(T.LongType()))], _bands_of).drop("text"), "near-rows")
+    rows = durable(arrow_columns(hashed, "text", [T.StructField(n, T.ArrayType(T.LongType())) for n in ("bands", "sketch")], _bands_of).drop("text"), "near-rows")
     some = F.size("bands") > 0
     heads = rows.where(some).groupBy("h1", "h2").agg(F.min("node").alias("head"))
     heads = durable(heads, "near-heads")
     # one row for each different text, under its smallest key
-    keys = rows.where(some).withColumnRenamed("node", "head").join(heads, ["h1", "h2", "head"]).groupBy("h1", "h2", "head").agg(F.first("bands").alias("bands"))
+    keys = rows.where(some).withColumnRenamed("node", "head").join(heads, ["h1", "h2", "head"]).groupBy("h1", "h2", "head").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     buckets = keys.select(F.col("head").alias("node"), F.explode("bands").alias("bucket"))
     counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    shared = durable(buckets.join(counts, "bucket"), "near-buckets")
+    shared_ = durable(buckets.join(counts, "bucket"), "near-buckets")
     # the centre of a bucket is the document whose buckets hold most; ties go to the smallest key
-    mass = shared.groupBy("node").agg(F.sum("n").alias("mass"))
-    ranked = shared.join(mass, "node").select("bucket", "node", F.struct((-F.col("mass")).alias("m"), "node").alias("rank"))
+    mass = shared_.groupBy("node").agg(F.sum("n").alias("mass"))
+    ranked = shared_.join(mass, "node").select("bucket", "node", F.struct((-F.col("mass")).alias("m"), "node").alias("rank"))
     centre = ranked.groupBy("bucket").agg(F.min("rank").alias("best")).select("bucket", F.col("best.node").alias("b"))
-    pairs = shared.join(centre, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
-    pairs = durable(pairs, "near-pairs")
-    links = durable(_verify(pairs, source), "near-links")
+    met = durable(shared_.join(centre, "bucket"), "near-met")
+    pairs = durable(met.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-pairs")
+    measured = durable(_measure(pairs, source), "near-measured")
+    links = measured.where(_similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
     classes = components(links, "near")
-    # documents of different classes that meet in a bucket, except those compared already
-    placed = shared.select("bucket", "node").join(classes, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    placed = durable(placed, "near-placed")
+    # documents of different classes that meet in a bucket
+    placed = durable(met.join(classes, "node", "left").select("bucket", "node", "b", F.coalesce("root", "node").alias("root")), "near-placed")
     main = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
-    apart = durable(placed.join(main, "bucket"), "near-apart")
-    few = apart.where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("rx"))
-    cross = few.join(apart.select("bucket", F.col("node").alias("y"), F.col("root").alias("ry")), "bucket").where("rx <> ry")
-    cross = cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    apart = placed.join(main, "bucket").join(measured.select(F.col("a").alias("node"), "b", "na", "common").distinct(), ["node", "b"], "left")
+    apart = apart.join(keys.select(F.col("head").alias("node"), "bands", "sketch"), "node").select("bucket", "node", "root", "main", "na", "common", "bands", "sketch")
+    apart = durable(apart, "near-apart")
+    x, y = apart.where("root <> main").alias("x"), apart.alias("y")
+    # what both have in common lies inside or outside of the centre
+    most = F.least("x.common", "y.common") + F.least(F.col("x.na") - F.col("x.common"), F.col("y.na") - F.col("y.common"))
+    able = F.coalesce(_similar(most, F.col("x.na"), F.col("y.na")), F.lit(True))
+    # a pair of two minor classes is met from both sides and taken from one, and a pair that shares several buckets in the lowest
+    once = (F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
+    lowest = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
+    cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & once & able & (agreeing(F.col("x.sketch"), F.col("y.sketch")) >= AGREE) & lowest)
+    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
     known = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    cross = durable(cross.join(known, ["a", "b"], "left_anti"), "near-cross")
-    more = durable(_verify(cross, source), "near-more")
+    cross = durable(cross.join(known, ["a", "b"], "left_anti").distinct(), "near-cross")
+    more = durable(_measure(cross, source).where(_similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b").distinct(), "near-more")
     if not more.isEmpty():
         classes = components(links.union(more), "near")
     member = rows.select("node", "h1", "h2", some.alias("some")).join(heads, ["h1", "h2"], "left")
