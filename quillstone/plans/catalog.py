@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import raster, retrieval, signals
+from quillstone.plans import raster, retrieval, rules, signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (retrieval, signals, raster):
+for _module in (retrieval, rules, signals, raster):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
