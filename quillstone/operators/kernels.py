@@ -100,8 +100,10 @@ def fill(px: DataFrame, hole: DataFrame) -> DataFrame:
 
     def one(key: tuple, rows: pd.DataFrame, gaps: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:  # a hole without an image
-            return rows
+            return pd.DataFrame({"image_id": [], "y": [], "x": [], "r": [], "g": [], "b": []}, dtype=np.int64)
         image = _grid(rows)
+        if gaps.empty:
+            return _rows(key[0], image)
         h, w = image.shape[:2]
         known = np.ones((h, w), dtype=bool)
         known[gaps["y"].to_numpy(int), gaps["x"].to_numpy(int)] = False
@@ -124,7 +126,8 @@ def fill(px: DataFrame, hole: DataFrame) -> DataFrame:
             known[y, x] = True
         return _rows(key[0], image)
 
-    return px.groupBy("image_id").cogroup(hole.groupBy("image_id")).applyInPandas(one, _PIXELS)
+    own = hole.select(*[F.col(n).alias(n) for n in ("image_id", "y", "x")])  # columns of its own, as the hole may come from the image
+    return px.groupBy("image_id").cogroup(own.groupBy("image_id")).applyInPandas(one, _PIXELS)
 
 
 # ---- sequences
