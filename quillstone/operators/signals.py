@@ -19,22 +19,26 @@ CURVES = {
     "overshoot": (0, 241, 630, 950, 1060, 1020, 1000),
 }
 
-_order = Window.partitionBy("series").orderBy("place")
-_upto = _order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-_whole = Window.partitionBy("series")
+
+def _order():
+    return Window.partitionBy("series").orderBy("place")
+
+
+def _whole():
+    return Window.partitionBy("series")
 
 
 def cumulative(s: DataFrame) -> DataFrame:
     """(series, i, total): running totals; i counts from 1."""
-    return s.select("series", F.row_number().over(_order).alias("i"), F.sum("v").over(_upto).alias("total"))
+    return s.select("series", F.row_number().over(_order()).alias("i"), F.sum("v").over(_order().rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("total"))
 
 
 def progress(s: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(series, k, reached): the running total at even places, linearly interpolated, in thousandths of the whole; 0 where that is not positive."""
     totals = cumulative(s)
     origin = totals.select("series").distinct().select("series", F.lit(0).alias("i"), F.lit(0).cast("long").alias("total"))
-    totals = totals.unionByName(origin).withColumns({"last": F.max("i").over(_whole), "next": F.lead("total").over(Window.partitionBy("series").orderBy("i"))})
-    span = F.max(F.when(F.col("i") == F.col("last"), F.col("total"))).over(_whole)
+    totals = totals.unionByName(origin).withColumns({"last": F.max("i").over(_whole()), "next": F.lead("total").over(Window.partitionBy("series").orderBy("i"))})
+    span = F.max(F.when(F.col("i") == F.col("last"), F.col("total"))).over(_whole())
     totals = totals.withColumn("span", span).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
     steps = samples - 1
     at = totals.where(F.expr(f"k * last div {steps}") == F.col("i"))
@@ -65,14 +69,14 @@ def easing(curves: DataFrame) -> DataFrame:
 
 def holds(s: DataFrame, twentieths: int = 1) -> DataFrame:
     """(series, start, length): runs of values below that many twentieths of the series' greatest; start counts from 0."""
-    low = s.select("series", (F.row_number().over(_order) - 1).alias("i"), "v", F.max("v").over(_whole).alias("top")).where(F.col("v") * 20 < F.col("top") * twentieths)
+    low = s.select("series", (F.row_number().over(_order()) - 1).alias("i"), "v", F.max("v").over(_whole()).alias("top")).where(F.col("v") * 20 < F.col("top") * twentieths)
     run = F.col("i") - F.row_number().over(Window.partitionBy("series").orderBy("i"))
     return low.withColumn("run", run).groupBy("series", "run").agg(F.min("i").alias("start"), F.count("*").alias("length")).drop("run")
 
 
 def peaks(s: DataFrame) -> DataFrame:
     """(series, peak): the first place, from 0, of the greatest value."""
-    rows = s.select("series", (F.row_number().over(_order) - 1).alias("i"), "v")
+    rows = s.select("series", (F.row_number().over(_order()) - 1).alias("i"), "v")
     return rows.groupBy("series").agg((-F.max(F.struct("v", (-F.col("i")).alias("i")))["i"]).alias("peak"))
 
 
@@ -89,7 +93,7 @@ def frames(s: DataFrame, size: int) -> DataFrame:
 
     energy is the sum of squares, crossings the changes of sign inside the frame (zero counts as positive), clipped the values of at least 20,000.
     """
-    rows = s.select("series", (F.row_number().over(_order) - 1).alias("i"), "v", F.count("*").over(_whole).alias("all"))
+    rows = s.select("series", (F.row_number().over(_order()) - 1).alias("i"), "v", F.count("*").over(_whole()).alias("all"))
     rows = rows.withColumn("frame", F.floor(F.col("i") / size)).where((F.col("frame") + 1) * size <= F.col("all"))
     before = F.lag("v").over(Window.partitionBy("series", "frame").orderBy("i"))
     rows = rows.withColumn("turn", ((F.col("v") >= 0) != (before >= 0)))
@@ -116,7 +120,7 @@ def framed_vote(active: DataFrame) -> DataFrame:
 
 def autocorrelation(s: DataFrame, lags: int) -> DataFrame:
     """(series, lag, products, n): sums of v[i] * v[i + lag] for lags 1 to ``lags``, over the pairs there are."""
-    shifted = s.select("series", "v", *[F.lead("v", k).over(_order).alias(f"v{k}") for k in range(1, lags + 1)])
+    shifted = s.select("series", "v", *[F.lead("v", k).over(_order()).alias(f"v{k}") for k in range(1, lags + 1)])
     pairs = shifted.select("series", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), (F.col("v") * F.col(f"v{k}")).alias("p")) for k in range(1, lags + 1)])).alias("z")).where("z.p is not null")
     return pairs.groupBy("series", F.col("z.lag").alias("lag")).agg(F.sum("z.p").alias("products"), F.count("*").alias("n"))
 
