@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, licenses, mixing, neardup, pii, quality, sharding, topk, vectordup
+from . import bpe, language, licenses, mixing, neardup, oracles, pii, quality, sharding, topk, vectordup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_top_k": oracles.TOP_K,
+        "op4_near_duplicates": oracles.NEAR_DUPLICATES,
+        "op6_near_vectors": oracles.NEAR_VECTORS,
+        "op7_licenses": oracles.licences(),
+    }
