@@ -47,8 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids of each document, and whether the ids decode to its text."""
-    path = bpe.public_path()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), bpe.public_path())
     return coded.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

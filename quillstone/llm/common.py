@@ -99,10 +99,15 @@ def components(edges: DataFrame, name: str, kind: str = "bigint") -> DataFrame:
         labels = labels.select("node", "root")
 
 
-def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
-    """``docs`` with ``fields`` appended, made from ``column`` batch by batch in Python workers; no shuffle.
+#: Bytes of a batch that a worker looks at together, so that what it makes of them stays small.
+SLICE = 4_000_000
 
-    Columns that bear the names of ``fields`` are renamed by underscores.
+
+def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], work: Callable[[pa.Array], list[pa.Array]], done: Callable[[], None] | None = None) -> DataFrame:
+    """``docs`` with ``fields`` appended, made from ``column`` slice by slice in Python workers; no shuffle.
+
+    Columns that bear the names of ``fields`` are renamed by underscores. ``done`` runs at the end of a partition, to let go of what
+    a worker, which other stages use after this one, has kept.
     """
     docs = docs.withColumn("__in", F.col(column))
     docs = make_room(docs, *[f.name for f in fields])
@@ -111,8 +116,12 @@ def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], wor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = work(batch.column(len(names)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *made], names=[*names, *(f.name for f in fields)])
+            step = max(1, batch.num_rows * SLICE // max(1, batch.nbytes))
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *work(part.column(len(names)))], names=[*names, *(f.name for f in fields)])
+        if done is not None:
+            done()
 
     return docs.select(*[F.col(f"`{c}`") for c in names], "__in").mapInArrow(run, schema)
 

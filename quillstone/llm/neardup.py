@@ -55,6 +55,10 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def _forget() -> None:
+    _HASHES.clear()
+
+
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Hashes of all runs of ``words`` words (white-space separated, lower case), repeats included; one run for a shorter text."""
     found = text.lower().split() if text else []
@@ -158,7 +162,7 @@ def _measure(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             out.append((len(own), len(kept), shared(own, kept)))
         return [pa.array([v[i] for v in out], pa.int64()) for i in range(3)]
 
-    return arrow_columns(two, "__both", [T.StructField(n, T.LongType()) for n in ("na", "nb", "common")], work).select("a", "b", "na", "nb", "common")
+    return arrow_columns(two, "__both", [T.StructField(n, T.LongType()) for n in ("na", "nb", "common")], work, _forget).select("a", "b", "na", "nb", "common")
 
 
 def _similar(common: Column, na: Column, nb: Column) -> Column:
@@ -191,7 +195,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     source = docs.select(node_of(key, text).alias("node"), F.col(text).alias("text"))
     hashed = source.select("node", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(41)).alias("h2"), "text")
-    rows = durable(arrow_columns(hashed, "text", [T.StructField(n, T.ArrayType(T.LongType())) for n in ("bands", "sketch")], _bands_of).drop("text"), "near-rows")
+    rows = durable(arrow_columns(hashed, "text", [T.StructField(n, T.ArrayType(T.LongType())) for n in ("bands", "sketch")], _bands_of, _forget).drop("text"), "near-rows")
     some = F.size("bands") > 0
     heads = rows.where(some).groupBy("h1", "h2").agg(F.min("node").alias("head"))
     heads = durable(heads, "near-heads")
