@@ -168,7 +168,7 @@ def edits(left: Sequence[str], right: Sequence[str]) -> list[str]:
 
 def simplify(points: Sequence[tuple[float, float]], epsilon: float) -> list[tuple[float, float]]:
     """The points of a line that are farther than ``epsilon`` from what is left without them (Ramer, Douglas, Peucker)."""
-    keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)]
+    keep, todo = {0, len(points) - 1}, [(0, len(points) - 1)] if points else []
     while todo:
         a, b = todo.pop()
         (ax, ay), (bx, by) = points[a], points[b]

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import fields, raster, retrieval, rules, signals
+from quillstone.plans import features, fields, raster, retrieval, rules, signals
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (retrieval, rules, signals, raster, fields):
+for _module in (retrieval, rules, signals, raster, fields, features):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
