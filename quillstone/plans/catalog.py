@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstone.plans import editing, features, fields, files, raster, retrieval, rules, signals
+from quillstone.plans import editing, features, fields, files, raster, retrieval, rules, signals, specialists
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for _module in (retrieval, rules, signals, raster, fields, features, files, editing):
+for _module in (retrieval, rules, signals, raster, fields, features, files, editing, specialists):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
