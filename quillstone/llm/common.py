@@ -127,15 +127,15 @@ def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], wor
 
 
 def sample_by_group(docs: DataFrame, group: str, key: str, most: int, where: Column) -> DataFrame:
-    """About ``most`` rows for each value of ``group``: those whose hashed ``key`` is lowest; ``where`` limits the rows.
+    """About ``most`` rows for each value of ``group``, or all if there are fewer; ``where`` limits the rows.
 
-    The thresholds come from the keys alone, so no text is shuffled. Equal keys share a hash and are taken together.
+    Rows are drawn by their hashed ``key`` at the rate that the group's count asks for, so no rows are gathered or ordered. Rows
+    of one key are taken or left together.
     """
-    h = F.xxhash64(F.col(key).cast("string"), F.lit(29))
-    keys = docs.where(where).select(F.col(group).alias("__g"), h.alias("__h"))
-    first = keys.withColumn("__n", F.row_number().over(Window.partitionBy("__g").orderBy("__h"))).where(F.col("__n") <= most)
-    limits = first.groupBy("__g").agg(F.max("__h").alias("__most"))
-    return docs.where(where).join(limits, F.col(group) == F.col("__g")).where(h <= F.col("__most")).drop("__g", "__most")
+    draw = F.call_function("shiftrightunsigned", F.xxhash64(F.col(key).cast("string"), F.lit(29)), F.lit(11)) / F.lit(2.0**53)
+    rows = docs.where(where)
+    counts = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
+    return rows.join(counts, F.col(group) == F.col("__g")).where(draw * F.col("__n") < most).drop("__g", "__n")
 
 
 def long_schema(*names: str) -> T.StructType:
