@@ -202,13 +202,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # one row for each different text, under its smallest key
     keys = rows.where(some).withColumnRenamed("node", "head").join(heads, ["h1", "h2", "head"]).groupBy("h1", "h2", "head").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     buckets = keys.select(F.col("head").alias("node"), F.explode("bands").alias("bucket"))
-    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # tables of their own, so that the joins below may split a hot bucket
+    counts = durable(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "near-counts")
     shared_ = durable(buckets.join(counts, "bucket"), "near-buckets")
     # the centre of a bucket is the document whose buckets hold most; ties go to the smallest key
     mass = shared_.groupBy("node").agg(F.sum("n").alias("mass"))
     ranked = shared_.join(mass, "node").select("bucket", "node", F.struct((-F.col("mass")).alias("m"), "node").alias("rank"))
     centre = ranked.groupBy("bucket").agg(F.min("rank").alias("best")).select("bucket", F.col("best.node").alias("b"))
-    met = durable(shared_.join(centre, "bucket"), "near-met")
+    met = durable(shared_.join(durable(centre, "near-centres"), "bucket"), "near-met")
     pairs = durable(met.where("node <> b").select(F.col("node").alias("a"), "b").distinct(), "near-pairs")
     measured = durable(_measure(pairs, source), "near-measured")
     links = measured.where(_similar(F.col("common"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
@@ -216,7 +217,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # documents of different classes that meet in a bucket
     placed = durable(met.join(classes, "node", "left").select("bucket", "node", "b", F.coalesce("root", "node").alias("root")), "near-placed")
     main = placed.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("root", "n").alias("main"), F.count("*").alias("classes")).where("classes > 1").select("bucket", "main")
-    apart = placed.join(main, "bucket").join(measured.select(F.col("a").alias("node"), "b", "na", "common").distinct(), ["node", "b"], "left")
+    apart = placed.join(durable(main, "near-main"), "bucket").join(measured.select(F.col("a").alias("node"), "b", "na", "common").distinct(), ["node", "b"], "left")
     apart = apart.join(keys.select(F.col("head").alias("node"), "bands", "sketch"), "node").select("bucket", "node", "root", "main", "na", "common", "bands", "sketch")
     apart = durable(apart, "near-apart")
     x, y = apart.where("root <> main").alias("x"), apart.alias("y")
