@@ -125,12 +125,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     # repeated keys would all hash to one shard or block, so the vector takes part in the deal as well
     deal = lambda m, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(m).cast("long")).cast("int")
 
-    def pack(rows: pd.DataFrame) -> tuple[bytes, bytes]:
-        return rows["id"].to_numpy(np.int64).tobytes(), np.stack(rows["v"].to_numpy()).astype(np.int64).tobytes()
-
     def packed(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ids, x = pack(rows)
-        return pd.DataFrame({"cell": [int(cell[0])], "ids": [ids], "x": [x]})
+        x = np.stack(rows["v"].to_numpy())
+        kind = next(k for k in ("<i2", "<i4", "<i8") if np.abs(x).max() <= np.iinfo(k).max)  # as narrow as the components allow
+        return pd.DataFrame({"cell": [int(cell[0])], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "x": [x.astype(kind).tobytes()]})
+
+    def unpacked(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n = np.frombuffer(ids, np.int64)
+        return n, np.frombuffer(x, f"<i{len(x) // (len(n) * width)}").reshape(-1, width).astype(np.int64)
 
     trees = vectors.where(F.size("v") == width).groupBy(deal(shards, 59).alias("cell")).applyInPandas(packed, "cell int, ids binary, x binary")
     trees = durable(trees, "top-shards")
@@ -144,8 +146,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in batch.itertuples(index=False):
-                qid, q = np.frombuffer(row.qids, np.int64), np.frombuffer(row.q, np.int64).reshape(-1, width)
-                ids, x = np.frombuffer(row.ids, np.int64), np.frombuffer(row.x, np.int64).reshape(-1, width)
+                qid, q = unpacked(row.qids, row.q)
+                ids, x = unpacked(row.ids, row.x)
                 best, who = np.full((len(q), k), none), np.full((len(q), k), last)
                 if row.floor is not None:  # scores to beat; an equal one still counts
                     best[:] = np.frombuffer(row.floor, np.int64)[:, None]
