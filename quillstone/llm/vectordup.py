@@ -17,17 +17,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, durable, table
+from .common import arrow_columns, components, durable, table
 
 THRESHOLD = 0.9
 #: The bounded sample that centroids and codebooks are fitted on, rounds of k-means, and the greatest number of lists.
 SAMPLE, ROUNDS, MOST_LISTS = 20_000, 8, 8192
-#: Subspaces of a code and codewords in each; the share of all lists that a vector probes, and the least number.
-SUBSPACES, CODEWORDS, PROBED, LEAST_PROBES = 8, 64, 1 / 12, 16
+#: Subspaces of a code and codewords in each; a vector probes this many lists and one more for each doubling of their number.
+SUBSPACES, CODEWORDS, PROBES = 8, 64, 2
 #: Vectors in a block and queries compared at once.
 BLOCK, AT_ONCE = 4096, 256
 
@@ -52,7 +52,7 @@ class Index:
         rest = sample - self.centres[self.nearest(sample, 1)[:, 0]]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [_kmeans(rest[:, c], min(CODEWORDS, len(rest)), 2 + i) for i, c in enumerate(self.cuts)]
-        self.probes = min(len(self.centres), max(LEAST_PROBES, int(np.ceil(PROBED * len(self.centres)))))
+        self.probes = min(len(self.centres), PROBES + int(np.ceil(np.log2(max(1, len(self.centres))))))
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest centroids of each vector, nearest first."""
@@ -81,9 +81,17 @@ class Index:
         return out
 
 
-def _valid(v: Column) -> Column:
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine & F.exists(v, lambda x: x != 0), F.lit(False))
+def _units(column: pa.Array) -> list[pa.Array]:
+    """Unit vectors in double precision; null where a vector is null, empty, zero, or holds null or non-finite components."""
+    out: list[np.ndarray | None] = []
+    for v in column:
+        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid and len(v) and not v.values.null_count else None
+        if x is None or not np.isfinite(x).all() or not x.any():
+            out.append(None)
+            continue
+        x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))  # keeps squares of very large and very small components finite
+        out.append(x / np.sqrt((x * x).sum()))
+    return [pa.array(out, pa.list_(pa.float64()))]
 
 
 def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,19 +151,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     Repeated keys count as separate rows but share a component; rows with a null key have no component. Ties need no rule:
     results depend on sets only. An empty table gives an empty table; other columns are ignored.
     """
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v"))
-    rows = rows.withColumn("ok", _valid(F.col("v")) & F.col("id").isNotNull())
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("raw"))
+    rows = arrow_columns(rows, "raw", [T.StructField("v", T.ArrayType(T.DoubleType()))], _units).drop("raw")
+    rows = durable(rows.withColumn("ok", F.col("v").isNotNull() & F.col("id").isNotNull()), "vec-units")
     common = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     width = common[0]["d"] if common else 0
-    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == width))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
-    unit = F.transform("v", lambda x: x / F.col("norm"))
-    # a power of two keeps the squares of very large and very small components finite
-    most = F.array_max(F.transform("v", F.abs))
-    rows = rows.withColumn("v", F.when(F.col("ok"), F.transform("v", lambda x: x / F.pow(F.lit(2.0), F.floor(F.log2(most))))))
-    rows = rows.withColumn("norm", norm).withColumn("v", F.when(F.col("ok"), unit)).drop("norm")
-    rows = durable(rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(43))), "vec-rows")
+    rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == width)).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(43)))
     copies = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("head"), F.count("*").alias("n"))
     copies = durable(copies, "vec-copies")
     total = copies.count()
