@@ -122,6 +122,7 @@ def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], wor
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *work(part.column(len(names)))], names=[*names, *(f.name for f in fields)])
         if done is not None:
             done()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(*[F.col(f"`{c}`") for c in names], "__in").mapInArrow(run, schema)
 

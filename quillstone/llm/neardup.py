@@ -30,7 +30,7 @@ BANDS, ROWS = 24, 6
 #: Positions of two signatures that must agree for a pair of the second pass: 0.8 less three standard deviations.
 AGREE = 100
 #: Word hashes that a worker keeps, and shingles that are signed together.
-WORDS_KEPT, TOGETHER = 300_000, 1_000_000
+WORDS_KEPT, TOGETHER = 100_000, 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0x100000001B3)
 

@@ -28,7 +28,7 @@ STEPS, RATE, PENALTY = 250, 0.08, 1e-3
 #: Documents that score less are rejected.
 THRESHOLD = 0.3
 #: Characters that are looked at together.
-CHUNK = 2_000_000
+CHUNK = 500_000
 
 _OTHER, _SPACE, _LOWER, _UPPER, _DIGIT, _STOP, _PLAIN, _BREAK = range(8)
 
