@@ -186,12 +186,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     coded = durable(heads.select("id", "n", "v").mapInArrow(code, "id long, n long, v binary, own int, codes binary, missed double, probes binary, near array<int>"), "vec-coded")
     members = coded.groupBy(F.col("own").alias("list")).agg(F.count("*").alias("nx"))
     asking = coded.select(F.explode("near").alias("list")).groupBy("list").agg(F.count("*").alias("nq"))
-    # one row a list: how many blocks either side is cut into
-    cuts = members.join(asking, "list").select("list", F.ceil(F.col("nx") / BLOCK).cast("int").alias("bx"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("bq"))
+    # one row a list, MOST_LISTS at most, so it may be broadcast: how many blocks either side is cut into
+    cuts = durable(members.join(asking, "list").select("list", F.ceil(F.col("nx") / BLOCK).cast("int").alias("bx"), F.ceil(F.col("nq") / BLOCK).cast("int").alias("bq")), "vec-cuts")
     draw = lambda n: F.pmod(F.xxhash64("id", F.lit(53)), n.cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    x = coded.withColumnRenamed("own", "list").join(cuts, "list").withColumn("xb", draw(F.col("bx"))).withColumn("qb", every(F.col("bq"))).select("list", "xb", "qb", "id", "n", "v", "codes", "missed", "probes")
-    q = coded.withColumn("list", F.explode("near")).join(cuts, "list").withColumn("qb", draw(F.col("bq"))).withColumn("xb", every(F.col("bx"))).select(*[F.col(c).alias(c) for c in ("list", "xb", "qb", "id", "n", "v", "own")])  # names of its own, for the cogroup
+    x = coded.withColumnRenamed("own", "list").join(F.broadcast(cuts), "list").withColumn("xb", draw(F.col("bx"))).withColumn("qb", every(F.col("bq"))).select("list", "xb", "qb", "id", "n", "v", "codes", "missed", "probes")
+    q = coded.withColumn("list", F.explode("near")).join(F.broadcast(cuts), "list").withColumn("qb", draw(F.col("bq"))).withColumn("xb", every(F.col("bx"))).select(*[F.col(c).alias(c) for c in ("list", "xb", "qb", "id", "n", "v", "own")])  # names of its own, for the cogroup
 
     def links(cell: tuple, asks: pd.DataFrame, has: pd.DataFrame) -> pd.DataFrame:
         if not len(asks) or not len(has):
