@@ -87,10 +87,14 @@ def lexical(queries: DataFrame, memory: DataFrame, k: int = 5, num: int = 34, de
         rows = side.select("id", "domain", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(frequency, ["domain", "token"], "left")
         place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "token"))
         most = F.col("size") - F.ceil(F.lit(num) * F.col("size") / den) + 1
-        return rows.withColumn("place", place).where(F.col("place") <= most).select("id", "domain", "token")
+        return rows.withColumn("place", place).where(F.col("place") <= most).select("id", "domain", "token", "size", "place")
 
     asks, has = prefix(queries), prefix(memory)
-    pairs = asks.select(F.col("id").alias("query_id"), "domain", "token").join(has, ["domain", "token"]).where("query_id <> id").select("query_id", "id").distinct()
+    q = asks.select(F.col("id").alias("query_id"), "domain", "token", F.col("size").alias("q_size"), F.col("place").alias("q_place"))
+    # from its first common token on, a pair can share no more than what follows on the shorter side, so that row passes if the pair does
+    most = 1 + F.least(F.col("q_size") - F.col("q_place"), F.col("size") - F.col("place"))
+    able = most * (num + den) >= (F.col("q_size") + F.col("size")) * num
+    pairs = q.join(has, ["domain", "token"]).where((F.col("query_id") != F.col("id")) & able).select("query_id", "id").distinct()
     both = pairs.join(queries.select(F.col("id").alias("query_id"), F.col("tokens").alias("q")), "query_id").join(memory.select("id", "tokens", "weight"), "id")
     both = both.withColumn("shared", F.size(F.array_intersect("q", "tokens"))).withColumn("all", F.size("q") + F.size("tokens") - F.col("shared"))
     both = both.where(F.col("shared") * den >= F.col("all") * num).select("query_id", "id", F.expr("shared * 1000000L div all").alias("sim"), F.expr("shared * 1000L * weight div all").alias("score"))
