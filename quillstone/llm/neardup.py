@@ -1,14 +1,16 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document is its five-word shingles, weighted by ``1 + ln(count)``. Each shingle is a Poisson process whose rate is its weight
-and whose arrivals fall on random positions of the signature; a position keeps the shingle that arrives first. Two
-documents agree in a position with the probability Jaccard similarity of their weighted shingles. Shingles take turns, and one stops
+A document is its five-word shingles, once as a set (all weights 1) and once weighted by ``1 + ln(count)``. Each shingle is a
+Poisson process whose rate is its weight and whose arrivals fall on random positions of the signature; a position keeps the
+shingle that arrives first. Two documents agree in a position with the probability Jaccard similarity of their weighted shingles;
+with all weights 1 that is the Jaccard similarity of the sets, which is the one that is verified. Shingles take turns, and one stops
 as soon as its next arrival is later than all positions of its document (early termination).
 
-Bands of the signature make candidates. In each bucket the most central document, the one whose buckets hold most
+Bands of both signatures make candidates, so repeated passages, which lower the weighted similarity only, hide no pair. The
+two signatures of a document without repeats are the same and give one set of bands. In each bucket the most central document, the one whose buckets hold most
 documents, is compared with every other, so a bucket of n documents costs n comparisons and not n squared. A second pass
 looks at documents that share a bucket but whose classes are still apart. Of those pairs it leaves out only what cannot reach the
-similarity: by a bound from what both share with the bucket's centre, or because their signatures agree in too few positions
+similarity: by a bound from what both share with the bucket's centre, or because their set signatures agree in too few positions
 (three standard deviations below 0.8). All others are verified on whole texts: exact Jaccard of the shingle sets of at least
 0.8. Classes are the connected components.
 """
@@ -27,7 +29,7 @@ from .common import arrow_columns, components, durable, free_name, table
 WORDS, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 0.0007.
 BANDS, ROWS = 24, 6
-#: Positions of two signatures that must agree for a pair of the second pass: 0.8 less three standard deviations.
+#: Positions of two set signatures that must agree for a pair of the second pass: 0.8 less three standard deviations.
 AGREE = 100
 #: Word hashes that a worker keeps, and shingles that are signed together.
 WORDS_KEPT, TOGETHER = 100_000, 200_000
@@ -73,12 +75,17 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return _mix(out + np.uint64(width))
 
 
-def sign(docs: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
-    """The signatures, one row of ``size`` hashes for each document; documents are arrays of shingle hashes and not empty."""
+def sign(docs: list[np.ndarray], size: int = BANDS * ROWS, weighted: bool = True) -> np.ndarray:
+    """The signatures, one row of ``size`` hashes for each document; documents are arrays of shingle hashes and not empty.
+
+    Without ``weighted`` repeats do not count: documents are sets.
+    """
     sets = [np.unique(x, return_counts=True) for x in docs]
     d = np.repeat(np.arange(len(docs)), [len(x) for x, _ in sets])
     h = np.concatenate([x for x, _ in sets]) if sets else np.zeros(0, dtype=np.uint64)
     rate = 1.0 + np.log(np.concatenate([c for _, c in sets])) if sets else np.zeros(0)
+    if not weighted:
+        rate = np.ones(len(h))
     first = np.full(len(docs) * size, np.inf)
     who = np.zeros(len(docs) * size, dtype=np.uint64)
     time, seed = np.zeros(len(h)), h.copy()
@@ -112,24 +119,33 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
 
 
 def _bands_of(texts: pa.Array) -> list[pa.Array]:
+    """The bands of the set signature and those of the weighted one that differ; the sketch of the set signature."""
     parts: list[np.ndarray] = []
     marks: list[np.ndarray] = []
-    ends = [0]
+    sizes: list[np.ndarray] = []
     held: list[np.ndarray] = []
+    some: list[bool] = []
     total = 0
 
     def flush() -> None:
         nonlocal total
         if held:
-            signed = sign(held)
-            parts.append(bands(signed).ravel())
+            signed = sign(held, weighted=False)
+            own = bands(signed)
+            repeats = np.array([len(np.unique(x)) < len(x) for x in held])
+            other = own.copy()
+            if repeats.any():
+                other[repeats] = bands(sign([x for x, r in zip(held, repeats, strict=True) if r]))
+            differs = np.concatenate([np.ones_like(own, dtype=bool), own != other], axis=1)
+            parts.append(np.concatenate([own, other], axis=1)[differs])
+            sizes.append(differs.sum(axis=1))
             marks.append(sketches(signed).ravel())
         held.clear()
         total = 0
 
     for t in texts.to_pylist():
         s = shingles(t)
-        ends.append(ends[-1] + (BANDS if len(s) else 0))
+        some.append(bool(len(s)))
         if len(s):
             held.append(s)
             total += len(s)
@@ -137,8 +153,11 @@ def _bands_of(texts: pa.Array) -> list[pa.Array]:
                 flush()
     flush()
     flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64())
-    lists = lambda width, x: pa.ListArray.from_arrays(pa.array([e // BANDS * width for e in ends], pa.int32()), flat(x))
-    return [lists(BANDS, parts), lists(-(-BANDS * ROWS // 8), marks)]
+    has = np.array(some, dtype=bool)
+    n = np.zeros(len(some), dtype=np.int64)
+    n[has] = np.concatenate(sizes) if sizes else 0
+    lists = lambda each, x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]), pa.int32()), flat(x))
+    return [lists(n, parts), lists(has * -(-BANDS * ROWS // 8), marks)]
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:

@@ -87,3 +87,21 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 0, 3, 5, 6, 9]
     assert N.near_duplicates(docs.limit(0)).count() == 0 and N.deduplicate(docs.limit(0)).count() == 0
+
+
+def test_repeated_passages_hide_no_pair(spark):
+    rng = random.Random(8)
+    texts = []
+    for pair in range(48):
+        base = words(rng, 200)
+        # the shingles stay nearly the same set, the counts do not
+        part, times = ((40, 100), (100, 50), (100, 10))[pair % 3]
+        texts += [" ".join(base), " ".join(base + base[:part] * times)]
+    rows = [*enumerate(texts)]
+    truth = classes(rows)
+    assert all(truth[k] == k - k % 2 for k in truth)
+    got = {r["node"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == truth
+    # the second pass goes by the sketch, which must agree as often as the sets do
+    marks = [N.sign([N.shingles(a), N.shingles(b)], weighted=False) for a, b in zip(texts[::2], texts[1::2], strict=True)]
+    assert all((m[0] == m[1]).sum() >= N.AGREE for m in marks)
