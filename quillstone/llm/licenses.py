@@ -81,6 +81,26 @@ ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CO
 THIS SOFTWARE.""",
     ),
 )
+# Digests of the canonical forms of whole standard texts, with and without the appendix on how to apply them, and with the usual list marks.
+DIGESTS = (
+    ("Apache-2.0", "93651fc3b3c9c21033cf07999bdb593e0138192678d4743ddf7ee126fefab052"),
+    ("Apache-2.0", "09ad3868555dada25cbf24199409a8c1e39fe8ef08d164adc6e98c1d02767793"),
+    ("GPL-2.0-only", "ae2be2aaa68f5e52ef402874fc8c7c691879b445cb12e49d84f88168cc2d7dd6"),
+    ("GPL-2.0-only", "a76cc6ce70778ba70e43b9b1838f9e3f88b3fc7c5acbb3b8a9847918003b63e0"),
+    ("GPL-3.0-only", "ee0d2b91860148fdc6916d4fbea5723c7b0c7330d7a45ee71fabe123ce7175f8"),
+    ("GPL-3.0-only", "4a9083dfa89bea4f460e373a4c7a4645205d5e3d3be775d544b10357e357f57b"),
+    ("LGPL-3.0-only", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("CC0-1.0", "e259b3e0bf831ddcd5351d255b832a3eccf42a266790e35dd570e35b737e30f2"),
+    ("MPL-2.0", "de0e0bad5657ae87b52462bd6dcfbfa29b0e1c9cdb1af2703a8760bce580dd61"),
+    ("MPL-2.0", "2cec6f733aa157c2d0b72e9669f75ca354f332218fcb5a3a885931f385272a04"),
+    ("Unlicense", "7a4d92cdb11d254973a073803be1148a5402f1b2ca67808cdb3ef78b596102cd"),
+    ("BSD-2-Clause", "9e8e685a22885928da8466dad47189c1cc34d405eeac0f64542df1757d1c78ae"),
+    ("BSD-2-Clause", "f3bbacbd62c8a914736791598ebd063abd69fbde8171fd06341b5ceb6671c7c6"),
+    ("BSD-3-Clause", "80e928d346053a16374bd8965df8b724bde7813286c7acf4e9c041e405fcddc8"),
+    ("BSD-3-Clause", "3d44d567fe62733cb1cbee6bd753f72560d3e9db0900d03fe8c0eb8fe50ef1af"),
+    ("BSD-3-Clause", "ab899150d08a3ccf837f742a20fbd8dd108031100312f3224aa5e2d14e0d60f1"),
+    ("BSD-3-Clause", "89f1f757b2876f2bf5151cdafc4c5a51c7efed4105bca6756a2c7d06aa519016"),
+)
 # Spellings that count as one, in lower case and without punctuation.
 SPELLINGS = (
     ("licence", "license"),
@@ -95,6 +115,15 @@ SPELLINGS = (
     ("v", "version"),
     ("https", "http"),
 )
+#: A line of copyright, with the "all rights reserved" that ends or follows it: the word before a sign, a year or a holder's name, or
+#: the sign alone. Lines of a licence's own text that happen to begin with the word go on with one of the words left out here.
+COPYRIGHT = (
+    r"(?m)^[^\S\n]*+(?:(?:portions )?copyright:?[^\S\n]+(?:\(c\)|©|[0-9]|(?:by|the)\b[^\n]*\b(?:19|20)[0-9]{2}\b"
+    r"|(?!(?:holders?|owners?|ownership|notices?|licen[cs]\w*|laws?|interests?|statements?|treat(?:y|ies)|protection|permission|disclaimers?|rights?|status|material|works?"
+    r"|and|or|on|in|of|to|is|as|are|for|with|under|that|by|the|this|doctrines?|infringement|resulting)\b)\w)|\(c\)|©)[^\n]*+(?:\n\s*+all rights reserved\.?[^\S\n]*+$)?"
+)
+#: The usual titles of short licences, whose standard text has none.
+TITLE = r"\A[\s#=*]*+(?:the )?(?:mit|isc|expat|0bsd|bsd|(?:new|simplified|modified|revised) bsd|zero-clause bsd|bsd zero[- ]clause|bsd [23]-clause|[23]-clause bsd)(?: \"(?:simplified|new)\"(?: or \"revised\")?)?(?: licen[cs]e)?(?: \((?:mit|isc|0bsd|bsd-[23]-clause)\))?[\s:=*-]*?(?:\n|\z)"
 
 
 def canonical(text: Column) -> Column:
@@ -102,7 +131,8 @@ def canonical(text: Column) -> Column:
     t = F.lower(text)
     # a copyright line names holders and years, or is the sign alone; the words of a licence itself stay
     holds = text.rlike(r"(?i)copyright|\(c\)|©")
-    t = F.when(holds, F.regexp_replace(t, r"(?m)^[^\S\n]*+(?:copyright[^\S\n]+(?:\(c\)|©|[0-9])|\(c\)|©)[^\n]*+$", "")).otherwise(t)
+    t = F.when(holds, F.regexp_replace(t, COPYRIGHT, "")).otherwise(t)
+    t = F.regexp_replace(t, TITLE, "")
     t = F.regexp_replace(F.replace(t, F.lit("&"), F.lit(" and ")), r"[!-/:-@\[-`{-~‘’“”«»–—…\s]++", " ")
     t = F.concat(F.lit(" "), t, F.lit(" "))
     for a, b in SPELLINGS:
@@ -112,8 +142,8 @@ def canonical(text: Column) -> Column:
 
 def known(spark: SparkSession) -> DataFrame:
     """(license_id, digest) of the notices and texts above: a fixed, small table."""
-    raw = spark.createDataFrame([*NOTICES, *TEXTS], "license_id string, text string")
-    return raw.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    raw = spark.createDataFrame([*NOTICES, *TEXTS], "license_id string, text string").select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    return raw.union(spark.createDataFrame(DIGESTS, "license_id string, digest string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", licenses: DataFrame | None = None) -> DataFrame:

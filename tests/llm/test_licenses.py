@@ -1,5 +1,8 @@
 """Canonical forms and digest lookup."""
 
+from pathlib import Path
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone.llm import licenses
@@ -45,3 +48,24 @@ def test_query_counts_lines_of_documents(spark, small):
     known = {t for _, t in licenses.NOTICES}
     for r in licenses.op7(spark, small).collect():
         assert r["n_notices"] == len({n for n, t in licenses.NOTICES if t in set(texts[r["doc_id"]].split("\n")) & known})
+
+
+def test_titles_and_copyright_lines(spark):
+    mit, isc = licenses.TEXTS[0][1], licenses.TEXTS[1][1]
+    heads = ["MIT License\n\nCopyright (c) 2020 Jane Doe\n\n", "The MIT License (MIT)\n\nCopyright Jane Doe 2020\n\n", "Copyright Jane Doe\nAll rights reserved.\n\n", "Copyright: 2020, Jane Doe\n", "Copyright the Doe authors, 2020\n"]
+    assert [x[0] for x in scan(spark, [h + mit for h in heads])] == ["MIT"] * len(heads)
+    assert scan(spark, ["ISC License\n\nCopyright Jane Doe 2020\n\n" + isc])[0][0] == "ISC"
+    # words of the licence itself stay wherever its lines break, and a title alone is no licence
+    broken = [mit.replace(" ", "\n"), mit.replace("copyright notice", "\ncopyright notice"), "MIT License", mit.replace("copyright notice", "\ncopyright notice not")]
+    assert [x[0] for x in scan(spark, broken)] == ["MIT", "MIT", None, None]
+
+
+def test_whole_standard_texts(spark):
+    folder = Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-3": "LGPL-3.0-only", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    here = [n for n in names if (folder / n).exists()]
+    if not here:
+        pytest.skip("no licence texts on this machine")
+    texts = [(folder / n).read_text() for n in here]
+    assert [x[0] for x in scan(spark, texts)] == [names[n] for n in here]
+    assert [x[0] for x in scan(spark, [t + " and more" for t in texts])] == [None] * len(here)
