@@ -42,15 +42,6 @@ def test_agreement_estimates_probability_jaccard():
     assert abs(share - (1 + np.log(101)) / (20 + np.log(101))) < 0.03
 
 
-def test_sketches_count_agreement(spark):
-    rng = np.random.default_rng(4)
-    a = rng.integers(0, 2**63, size=(1, N.BANDS * N.ROWS)).astype(np.uint64)
-    b = a.copy()
-    b[0, ::3] += np.uint64(1)
-    row = spark.createDataFrame([(N.sketches(a)[0].tolist(), N.sketches(b)[0].tolist())], "x array<long>, y array<long>")
-    assert row.select(N.agreeing(F.col("x"), F.col("y"))).first()[0] == N.BANDS * N.ROWS - len(range(0, N.BANDS * N.ROWS, 3))
-
-
 def test_classes_match_brute_force(spark):
     rng = random.Random(6)
     texts = []
@@ -102,6 +93,97 @@ def test_repeated_passages_hide_no_pair(spark):
     assert all(truth[k] == k - k % 2 for k in truth)
     got = {r["node"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == truth
-    # the second pass goes by the sketch, which must agree as often as the sets do
-    marks = [N.sign([N.shingles(a), N.shingles(b)], weighted=False) for a, b in zip(texts[::2], texts[1::2], strict=True)]
-    assert all((m[0] == m[1]).sum() >= N.AGREE for m in marks)
+
+
+def edited(rng, base, most):
+    w = list(base)
+    for _ in range(rng.randrange(0, most + 1)):
+        at = rng.randrange(len(w))
+        if rng.random() < 0.3:
+            del w[at]
+        else:
+            w[at] = f"x{rng.randrange(10**6)}"
+    return " ".join(w)
+
+
+def group(rng, n, most=9):
+    """``n`` copies of one text with up to ``most`` edits; of some of the heavily edited ones there are copies with one edit more."""
+    base = words(rng, 120)
+    texts = [edited(rng, base, most) for _ in range(n - n // 10)]
+    return texts + [edited(rng, rng.choice(texts).split(), 1) for _ in range(n // 10)]
+
+
+def reach(rows):
+    """As ``classes``, by numbers: for groups of a thousand."""
+    sets = {k: set(N.shingles(t).tolist()) for k, t in rows}
+    keys = sorted(sets)
+    names = {h: i for i, h in enumerate({h for s in sets.values() for h in s})}
+    x = np.zeros((len(keys), len(names)), dtype=np.float32)
+    for i, k in enumerate(keys):
+        x[i, [names[h] for h in sets[k]]] = 1
+    both, n = x @ x.T, x.sum(axis=1)
+    near = both >= 0.8 * (n[:, None] + n[None, :] - both) - 1e-6
+    label = np.arange(len(keys))
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(keys))])
+        if (new == label).all():
+            return {k: keys[label[i]] for i, k in enumerate(keys)}
+        label = new
+
+
+def made(spark, rows, monkeypatch):
+    """Classes of ``rows`` and the rows of all tables that were written for them."""
+    total = 0
+    write = N.durable
+
+    def counted(df, name):
+        nonlocal total
+        out = write(df, name)
+        total += out.count()
+        return out
+
+    monkeypatch.setattr(N, "durable", counted)
+    got = {r["node"]: r["class_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(N, "durable", write)
+    return got, total
+
+
+def test_large_groups_are_exact_and_linear(spark, monkeypatch):
+    sizes = []
+    for n in (300, 1200):
+        rows = [*enumerate(group(random.Random(n), n))]
+        got, total = made(spark, rows, monkeypatch)
+        assert got == reach(rows)
+        sizes.append(total)
+    assert sizes[1] < 4 * 1.4 * sizes[0], sizes
+
+
+def test_settling_finds_all_that_is_linked(spark):
+    """Rows of three groups, by their edits alone, against all pairs."""
+    rng = random.Random(12)
+    rows, truth = [], set()
+    for g in range(3):
+        common = [rng.randrange(1 << 40) for _ in range(40)]
+        sets = [set(rng.sample(common, rng.randrange(0, 24))) | {rng.randrange(1 << 40) for _ in range(rng.randrange(0, 6))} for _ in range(150)]
+        rows += [(g, 1000 * g + i, 1000 * g + i, 90, 0, 0, sorted(s)) for i, s in enumerate(sets)]
+        truth |= {(1000 * g + i, 1000 * g + j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and 180 >= 9 * len(x ^ y)}
+    for few in (4, 256):
+        N.POSTED, before = few, N.POSTED
+        try:
+            found = N.settle(spark.createDataFrame(rows, "g long, node long, root long, n long, u long, marks long, edits array<long>")).collect()
+        finally:
+            N.POSTED = before
+        found = {tuple(sorted(r)) for r in found}
+        assert found <= truth and union(found) == union(truth)
+
+
+def union(edges):
+    label = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            low = min(label[a], label[b])
+            changed |= label[a] != low or label[b] != low
+            label[a] = label[b] = low
+    return label
