@@ -1,6 +1,6 @@
 """Exact top-k inner products by ball trees, one for each shard.
 
-Vectors are dealt into shards of bounded size by a hash of their key; each shard becomes a ball tree, stored as one row. Queries are dealt into
+Vectors are dealt into shards of bounded size by a hash of their key; a task builds a shard's ball tree once for all blocks that it is asked. Queries are dealt into
 blocks of bounded size, and every block meets every shard. A block goes down a tree with all queries that may still gain
 from a node: the upper bound of a query with a ball is its product with the centre plus its length times the radius, the
 child with the greater bound comes first, and queries whose k-th score beats the bound leave. Shards of a block that
@@ -22,8 +22,25 @@ from .common import durable, table
 K, SCALE, EVERY = 20, 64, 20
 #: Vectors in a shard, in a leaf, and queries in a block.
 SHARD, LEAF, BLOCK = 16_384, 128, 1_024
-#: Components beyond this are refused, so that products of any 64-dimensional vectors fit 64 bits with room.
-LARGEST = 1 << 28
+#: Blocks whose k-th scores a task remembers from one shard to the next.
+REMEMBERED = 4096
+LONG = np.iinfo(np.int64)
+
+
+def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The integer inner products of rows of ``q`` with rows of ``x``, exactly, by the narrowest numbers that hold them.
+
+    A product that doesn't fit 64 bits raises OverflowError: it has no score of the type that is promised.
+    """
+    most = int(max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0))))) * int(max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))) * q.shape[1]
+    if most < 1 << 52:
+        return (q.astype(np.float64) @ x.T.astype(np.float64)).astype(np.int64)
+    if most <= LONG.max:
+        return q @ x.T
+    wide = q.astype(object) @ x.T.astype(object)
+    if wide.size and (wide.max() > LONG.max or wide.min() <= LONG.min):
+        raise OverflowError("an inner product of quantised vectors doesn't fit a long")
+    return wide.astype(np.int64)
 
 
 class BallTree:
@@ -53,15 +70,13 @@ class BallTree:
 
         grow(0, len(x))
         self.ids, self.x = ids[order], x[order]
-        self.most = int(np.abs(x).max()) if x.size else 0
+        self.most = float(np.abs(f).max(initial=0.0))
 
-    def search(self, q: np.ndarray, qid: np.ndarray, best: np.ndarray, who: np.ndarray, k: int) -> None:
+    def search(self, q: np.ndarray, best: np.ndarray, who: np.ndarray, k: int) -> None:
         """Improves ``best`` (scores, descending) and ``who`` (ids) of every query in place; absent places hold the least score."""
         qf = q.astype(np.float64)
         length = np.sqrt((qf**2).sum(axis=1))
         slack = 1e-9 * (1 + length * (self.most * np.sqrt(q.shape[1])))
-        exact_in_double = float(np.abs(q).max(initial=0)) * self.most * q.shape[1] < 2**52
-        xf = self.x.astype(np.float64) if exact_in_double else None
 
         def bound(node: int, who_asks: np.ndarray) -> np.ndarray:
             return qf[who_asks] @ self.centre[node] + length[who_asks] * self.radius[node] + slack[who_asks]
@@ -74,10 +89,9 @@ class BallTree:
             if self.left[node] < 0:
                 for s in range(lo, hi, 4 * LEAF):  # leaves are larger only where all rows are equal
                     e = min(hi, s + 4 * LEAF)
-                    scores = (qf[asks] @ xf[s:e].T).astype(np.int64) if xf is not None else q[asks] @ self.x[s:e].T
+                    scores = products(q[asks], self.x[s:e])
                     ids = np.broadcast_to(self.ids[s:e], scores.shape)
-                    none = np.iinfo(np.int64).min
-                    scores = np.where(ids == qid[asks][:, None], none, scores)
+                    none = LONG.min
                     both, names = np.hstack([best[asks], scores]), np.hstack([who[asks], ids])
                     names = np.where(both == none, np.iinfo(np.int64).max, names)
                     first = np.lexsort((names, -np.maximum(both, none + 1)), axis=1)[:, :k]
@@ -93,23 +107,29 @@ class BallTree:
 
 
 def _usable(v: Column) -> Column:
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) * SCALE < LARGEST))
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & fine, F.lit(False))
 
 
 def quantised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v): components times 64, rounded down, of the vectors that take part."""
+    """(id, v): components times 64, rounded down, of the vectors that take part: no null, none that is not finite.
+
+    A component whose 64-fold is no long stops the query, as no integer of the promised type holds it.
+    """
     rows = vectors.where(_usable(F.col(vector)) & F.col(key).isNotNull())
-    return rows.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("long")).alias("v"))
+    whole = lambda x: F.when(F.abs(x.cast("double") * SCALE) < float(1 << 62), F.floor(x.cast("double") * SCALE).cast("long")).otherwise(F.raise_error(F.lit("a component is too large for an integer score")).cast("long"))
+    return rows.select(F.col(key).cast("long").alias("id"), F.transform(vector, whole).alias("v"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` best candidates of ``vectors`` (id, v) for each row of ``queries`` (id, v).
 
-    Score is the integer inner product; ties go to the smaller id; a query is no candidate of its own. There are fewer rows for a query
+    Score is the integer inner product, exact whatever the size of components (a score that is no long stops the query); ties go to
+    the smaller id; a query's own row, one with its id and its vector, is no candidate of it, other rows with its id are. There are fewer rows for a query
     if there are fewer candidates. Repeated rows of candidates are candidates each; repeated queries get the same
-    rows each. Vectors of another length than the most frequent take no part. Empty tables give an empty table.
+    rows each. Vectors of another length than the most frequent have no product with the rest and take no part. Empty tables give an empty table.
     """
+    most = k + 1  # the query's own row leaves at the end
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     vectors = durable(vectors, "top-vectors")
@@ -128,59 +148,66 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     def packed(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(rows["v"].to_numpy())
         kind = next(k for k in ("<i2", "<i4", "<i8") if np.abs(x).max() <= np.iinfo(k).max)  # as narrow as the components allow
-        return pd.DataFrame({"cell": [int(cell[0])], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "x": [x.astype(kind).tobytes()]})
+        copies = rows["copies"].to_numpy(np.int64).tobytes() if "copies" in rows else None
+        return pd.DataFrame({"cell": [int(cell[0])], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "x": [x.astype(kind).tobytes()], "copies": [copies]})
 
     def unpacked(ids: bytes, x: bytes) -> tuple[np.ndarray, np.ndarray]:
         n = np.frombuffer(ids, np.int64)
         return n, np.frombuffer(x, f"<i{len(x) // (len(n) * width)}").reshape(-1, width).astype(np.int64)
 
-    trees = vectors.where(F.size("v") == width).groupBy(deal(shards, 59).alias("cell")).applyInPandas(packed, "cell int, ids binary, x binary")
+    trees = vectors.where(F.size("v") == width).groupBy(deal(shards, 59).alias("cell")).applyInPandas(packed, "cell int, ids binary, x binary, copies binary")
     trees = durable(trees, "top-shards")
-    # equal queries are one query; a number tells the repeats apart at the end
+    # equal queries are one query with a number of copies
     different = queries.groupBy("id", "v").agg(F.count("*").alias("copies"))
-    asks = durable(different.select("id", "v").groupBy(deal(blocks, 61).alias("cell")).applyInPandas(packed, "cell int, ids binary, x binary"), "top-blocks")
-    out = "block int, id long, v binary, best array<bigint>, who array<bigint>"
-    none, last = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+    asks = durable(different.groupBy(deal(blocks, 61).alias("cell")).applyInPandas(packed, "cell int, ids binary, x binary, copies binary"), "top-blocks")
+    out = "block int, id long, v binary, copies long, own long, best array<bigint>, who array<bigint>"
+    none, last = LONG.min, LONG.max
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, np.ndarray] = {}
+        shard, tree = None, None
         for batch in batches:
             for row in batch.itertuples(index=False):
                 qid, q = unpacked(row.qids, row.q)
-                ids, x = unpacked(row.ids, row.x)
-                best, who = np.full((len(q), k), none), np.full((len(q), k), last)
+                if row.shard != shard:
+                    shard, tree = row.shard, BallTree(*unpacked(row.ids, row.x))
+                best, who = np.full((len(q), most), none), np.full((len(q), most), last)
                 if row.floor is not None:  # scores to beat; an equal one still counts
                     best[:] = np.frombuffer(row.floor, np.int64)[:, None]
                 if row.block in held:
                     best = np.maximum(best, held[row.block][:, None])
-                BallTree(ids, x).search(q, qid, best, who, k)
-                held = {row.block: best[:, -1].copy()}
-                yield pd.DataFrame({"block": row.block, "id": qid, "v": [r.tobytes() for r in q], "best": best.tolist(), "who": who.tolist()})
+                tree.search(q, best, who, most)
+                if len(held) >= REMEMBERED:
+                    held.clear()
+                held[row.block] = best[:, -1].copy()
+                own = [int(products(r[None], r[None])[0, 0]) for r in q]
+                yield pd.DataFrame({"block": row.block, "id": qid, "v": [r.tobytes() for r in q], "copies": np.frombuffer(row.copies, np.int64), "own": own, "best": best.tolist(), "who": who.tolist()})
 
     def meet(pairs: DataFrame) -> DataFrame:
         return pairs.mapInPandas(search, out)
 
     shard_rows = trees.select(F.col("cell").alias("shard"), "ids", "x")
-    ask_rows = asks.select(F.col("cell").alias("block"), F.col("ids").alias("qids"), F.col("x").alias("q"))
+    ask_rows = asks.select(F.col("cell").alias("block"), F.col("ids").alias("qids"), F.col("x").alias("q"), "copies")
     # first pass: every block with one shard, for the scores to beat
     first = ask_rows.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).join(shard_rows, "shard").withColumn("floor", F.lit(None).cast("binary"))
-    first = durable(meet(first.select("block", "shard", "qids", "q", "ids", "x", "floor")), "top-first")
+    first = durable(meet(first.select("block", "shard", "qids", "q", "copies", "ids", "x", "floor")), "top-first")
     done = first
     if shards > 1:
 
         def floors(cell: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             at = rows["best"].map(lambda b: b[-1])
-            return pd.DataFrame({"block": [int(cell[0])], "qids": [rows["id"].to_numpy(np.int64).tobytes()], "q": [b"".join(rows["v"])], "floor": [at.to_numpy(np.int64).tobytes()]})
+            return pd.DataFrame({"block": [int(cell[0])], "qids": [rows["id"].to_numpy(np.int64).tobytes()], "q": [b"".join(rows["v"])], "copies": [rows["copies"].to_numpy(np.int64).tobytes()], "floor": [at.to_numpy(np.int64).tobytes()]})
 
-        ready = first.groupBy("block").applyInPandas(floors, "block int, qids binary, q binary, floor binary")
+        ready = first.groupBy("block").applyInPandas(floors, "block int, qids binary, q binary, copies binary, floor binary")
         ready = ready.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.pmod(F.col("block"), F.lit(shards)))
-        rest = ready.join(shard_rows, "shard").select("block", "shard", "qids", "q", "ids", "x", "floor").sortWithinPartitions("block", "shard")
+        rest = ready.join(shard_rows.drop("copies"), "shard").select("block", "shard", "qids", "q", "copies", "ids", "x", "floor").sortWithinPartitions("shard", "block")
         done = first.union(durable(meet(rest), "top-rest"))
-    rows = done.select("id", "v", F.explode(F.arrays_zip("best", "who")).alias("z")).select("id", "v", F.col("z.best").alias("score"), F.col("z.who").alias("vec_id")).where(F.col("vec_id") != last)
-    order = Window.partitionBy("id", "v").orderBy(F.desc("score"), "vec_id")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    repeats = different.where("copies > 1").groupBy("id").agg(F.max("copies").alias("copies"))
-    rows = rows.join(repeats, "id", "left").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
+    rows = done.select("id", "v", "copies", "own", F.explode(F.arrays_zip("best", "who")).alias("z")).select("id", "v", "copies", "own", F.col("z.best").alias("score"), F.col("z.who").alias("vec_id")).where(F.col("vec_id") != last)
+    order = Window.partitionBy("id", "v").orderBy(F.desc("score"), "vec_id").rowsBetween(Window.unboundedPreceding, 0)
+    mine = (F.col("vec_id") == F.col("id")) & (F.col("score") == F.col("own"))
+    rows = rows.withColumn("mine", mine).withColumn("met", F.sum(F.col("mine").cast("int")).over(order)).withColumn("rank", F.row_number().over(order) - (F.col("met") > 0).cast("int"))
+    rows = rows.where(~(F.col("mine") & (F.col("met") == 1)) & (F.col("rank") <= k))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return rows.select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
