@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,15 +29,26 @@ THRESHOLD = 0.9
 SAMPLE, ROUNDS, MOST_LISTS = 20_000, 8, 8192
 #: Subspaces of a code and codewords in each; a vector probes this many lists and one more for each doubling of their number.
 SUBSPACES, CODEWORDS, PROBES = 8, 64, 2
-#: Vectors in a block and queries compared at once.
-BLOCK, AT_ONCE = 4096, 256
+#: Vectors in a block and queries compared at once; products with centroids that are in memory at once.
+BLOCK, AT_ONCE, CELLS = 4096, 256, 4_000_000
+
+
+def _slices(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of rows whose products with so many centroids are of bounded size."""
+    step = max(1, CELLS // max(1, columns))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
+def _closest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    length = (centres**2).sum(1)
+    return np.concatenate([(length - 2 * x[s] @ centres.T).argmin(axis=1) for s in _slices(len(x), len(centres))] or [np.zeros(0, dtype=np.int64)])
 
 
 def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(ROUNDS):
-        own = np.argmin((centres**2).sum(1) - 2 * x @ centres.T, axis=1)
+        own = _closest(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, own, x)
         n = np.bincount(own, minlength=k)[:, None]
@@ -47,20 +59,25 @@ def _kmeans(x: np.ndarray, k: int, seed: int) -> np.ndarray:
 class Index:
     """Coarse centroids and the codebooks of their residuals, from unit vectors; and coding by them."""
 
-    def __init__(self, sample: np.ndarray, lists: int) -> None:
+    def __init__(self, sample: np.ndarray, lists: int, probes: int | None = PROBES) -> None:
         self.centres = _kmeans(sample, max(1, min(lists, len(sample))), 1)
         rest = sample - self.centres[self.nearest(sample, 1)[:, 0]]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [_kmeans(rest[:, c], min(CODEWORDS, len(rest)), 2 + i) for i, c in enumerate(self.cuts)]
-        self.probes = min(len(self.centres), PROBES + int(np.ceil(np.log2(max(1, len(self.centres))))))
+        lists = len(self.centres)
+        self.probes = lists if probes is None else min(lists, probes + int(np.ceil(np.log2(lists))))
 
     def nearest(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest centroids of each vector, nearest first."""
-        far = (self.centres**2).sum(1) - 2 * x @ self.centres.T
         if n == 1:
-            return far.argmin(axis=1)[:, None]
-        some = np.argpartition(far, min(n, far.shape[1]) - 1, axis=1)[:, :n]
-        return np.take_along_axis(some, np.take_along_axis(far, some, 1).argsort(axis=1, kind="stable"), 1)
+            return _closest(x, self.centres)[:, None]
+        length = (self.centres**2).sum(1)
+        out = np.empty((len(x), n), dtype=np.int64)
+        for s in _slices(len(x), len(self.centres)):
+            far = length - 2 * x[s] @ self.centres.T
+            some = np.argpartition(far, n - 1, axis=1)[:, :n]
+            out[s] = np.take_along_axis(some, np.take_along_axis(far, some, 1).argsort(axis=1, kind="stable"), 1)
+        return out
 
     def code(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(codes, length of what they miss) of vectors in their lists."""
@@ -83,15 +100,22 @@ class Index:
 
 def _units(column: pa.Array) -> list[pa.Array]:
     """Unit vectors in double precision; null where a vector is null, empty, zero, or holds null or non-finite components."""
-    out: list[np.ndarray | None] = []
-    for v in column:
-        x = v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid and len(v) and not v.values.null_count else None
-        if x is None or not np.isfinite(x).all() or not x.any():
-            out.append(None)
-            continue
-        x = np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))  # keeps squares of very large and very small components finite
-        out.append(x / np.sqrt((x * x).sum()))
-    return [pa.array(out, pa.list_(pa.float64()))]
+    held = column.is_valid().to_numpy(zero_copy_only=False)
+    sizes = np.where(held, pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+    flat = column.flatten()  # without what null rows may cover
+    x = flat.cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).copy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    fine = sizes > 0
+    fine[row[~np.isfinite(x)]] = False
+    most = np.zeros(len(sizes))
+    np.maximum.at(most, row, np.where(np.isfinite(x), np.abs(x), 0.0))
+    fine &= most > 0
+    keep = fine[row]
+    x, row = x[keep], row[keep]
+    x = np.ldexp(x, -np.frexp(most)[1][row])  # keeps squares of very large and very small components finite
+    x /= np.sqrt(np.bincount(row, weights=x * x, minlength=len(sizes)))[row]
+    ends = np.concatenate([[0], np.cumsum(np.where(fine, sizes, 0))]).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(ends), pa.array(x), mask=pa.array(~fine))]
 
 
 def _forest(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,12 +167,12 @@ def _compare(index: Index, which: int, q: pd.DataFrame, x: pd.DataFrame) -> pd.D
     return pd.DataFrame({"a": np.concatenate([ids, pairs[:, 0]]), "b": pd.array([*[None] * len(ids), *pairs[:, 1].tolist()], dtype="Int64"), "links": np.concatenate([links, np.zeros(len(pairs), dtype=np.int64)])})
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", probes: int | None = PROBES) -> DataFrame:
     """(key, n_links, component_id, kept) for each row of ``vectors``.
 
     A vector that is null, empty, zero, or holds null or non-finite components links with nothing and is its own component; so
-    does one whose length isn't the most frequent. Links are pairs of rows with cosine of at least 0.9 that the index finds.
-    Repeated keys count as separate rows but share a component; rows with a null key have no component. Ties need no rule:
+    does one whose length isn't the most frequent. Links are pairs of rows with cosine of at least 0.9 that the index finds; with
+    ``probes`` None every list is probed and all links are found. Repeated keys, with one vector or several, count as separate rows but share a component; rows with a null key have no component. Ties need no rule:
     results depend on sets only. An empty table gives an empty table; other columns are ignored.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("raw"))
@@ -157,16 +181,21 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     common = rows.where("ok").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     width = common[0]["d"] if common else 0
     rows = rows.withColumn("ok", F.col("ok") & (F.size("v") == width)).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64("v", F.lit(43)))
-    copies = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("head"), F.count("*").alias("n"))
+    # one row for each different vector; of the vectors of one id one goes by the id, the others by a number beyond all ids
+    least = rows.where("ok").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    lowest = least.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("first"))
+    beyond = F.lit(1 << 62) + F.pmod(F.xxhash64("id", "h1", "h2"), F.lit(1 << 61))
+    least = durable(least, "vec-least").join(durable(lowest, "vec-lowest"), "id")
+    copies = least.select("h1", "h2", "n", F.col("id").alias("least"), F.when(F.struct("h1", "h2") == F.col("first"), F.col("id")).otherwise(beyond).alias("head"))
     copies = durable(copies, "vec-copies")
     total = copies.count()
-    heads = rows.where("ok").join(copies, (rows.id == F.col("head")) & (rows.h1 == copies.h1) & (rows.h2 == copies.h2)).groupBy("id").agg(F.first("v").alias("v"), F.first("n").alias("n"))
+    heads = rows.where("ok").withColumnRenamed("id", "least").join(copies, ["h1", "h2", "least"]).groupBy(F.col("head").alias("id")).agg(F.first("v").alias("v"), F.first("n").alias("n"))
     result = rows.select("id", "h1", "h2", "ok")
     if total == 0:
         return result.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     heads = durable(heads, "vec-heads")
     sample = heads.select("v", F.xxhash64("id", F.lit(47)).alias("h")).orderBy("h").limit(SAMPLE).select("v").toPandas()  # a bounded sample
-    index = Index(np.stack(sample["v"].to_numpy()).astype(np.float64), min(MOST_LISTS, int(np.ceil(np.sqrt(total)))))
+    index = Index(np.stack(sample["v"].to_numpy()).astype(np.float64), min(MOST_LISTS, int(np.ceil(np.sqrt(total)))), probes)
     shared = heads.sparkSession.sparkContext.broadcast(index)  # MOST_LISTS centroids at most
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +230,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     found = q.groupBy("list", "xb", "qb").cogroup(x.groupBy("list", "xb", "qb")).applyInPandas(links, "a long, b long, links long")
     found = durable(found, "vec-found")
     counts = found.where("b is null").groupBy(F.col("a").alias("head")).agg(F.sum("links").alias("links"))
-    roots = components(found.where("b is not null").select("a", "b"), "vec").withColumnRenamed("node", "head")
     result = result.join(copies, ["h1", "h2"], "left").withColumn("head", F.when(F.col("ok"), F.col("head")).otherwise(F.col("id")))
+    # the vectors of one id belong together; where ids have one vector each, no row is left of this
+    several = result.where("ok").groupBy("id").agg(F.min("head").alias("low"), F.max("head").alias("high")).where("low <> high").select("id")
+    same = durable(result.where("ok").join(several, "id").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "vec-same")
+    roots = components(found.where("b is not null").select("a", "b").union(same), "vec").withColumnRenamed("node", "head")
     result = result.join(counts, "head", "left").join(roots, "head", "left")
     own = F.when(F.col("ok"), F.coalesce("links", F.lit(0)) + F.col("n") - 1).otherwise(0).cast("long")
     component = F.coalesce("root", "head")

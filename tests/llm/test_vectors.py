@@ -62,15 +62,27 @@ def test_near_vectors_odd_rows(spark):
 
 
 def test_recall_on_the_query(spark):
-    path = "/root/testdata/check_s"
+    path = "/root/testdata/sf0.01"
     table = spark.read.parquet(f"{path}/embeddings.parquet").toPandas().sort_values("vec_id")
-    u = np.stack(table.embedding.to_numpy()).astype(np.float64)
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    links = np.concatenate([(u[i : i + 1000] @ u.T >= 0.9).sum(axis=1) - 1 for i in range(0, len(u), 1000)])
+    links, _ = truth(np.stack(table.embedding.to_numpy()).astype(np.float64))
     got = V.op6(spark, path).toPandas().sort_values("vec_id")
     assert got.n_links.sum() >= 0.95 * links.sum() and (got.n_links.to_numpy() <= links).all()
 
 
+def test_all_lists_find_every_link(spark):
+    x = make(600, seed=5)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = V.near_vectors(rows, probes=None).toPandas().sort_values("vec_id")
+    links, label = truth(x)
+    assert (got.n_links.to_numpy() == links).all() and (got.component_id.to_numpy() == label).all()
+
+
+def test_an_id_with_different_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (4, [-1.0, 0.0])]
+    got = sorted(map(tuple, V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), probes=None).collect()))
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
 def brute(x, ids, queries, k):
     out = {}
     for i in queries:
@@ -111,8 +123,26 @@ def test_top_k_odd_rows(spark):
     rows = [(20, [1.0, 0.5]), (20, [1.0, 0.5]), (1, [0.5, 0.5]), (2, None), (3, [None, 1.0]), (4, [math.nan, 0.0]), (5, [math.inf, 0.0]), (None, [1.0, 1.0]), (6, []), (7, [1e9, 0.0]), (40, [0.0, 0.0])]
     v = K.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
     got = sorted(map(tuple, K.top_k(v, v.where("id % 20 = 0")).collect()))
-    score = 64 * 32 + 32 * 32
-    assert got == sorted([(20, 1, 1, score)] * 2 + [(20, 2, 40, 0)] * 2 + [(40, 1, 1, 0), (40, 2, 20, 0), (40, 3, 20, 0)])
+    score, own, big = 64 * 32 + 32 * 32, 64 * 64 + 32 * 32, 64 * 10**9 * 64
+    # the other row of the repeated id is a candidate of each
+    assert got == sorted([(20, 1, 7, big)] * 2 + [(20, 2, 20, own)] * 2 + [(20, 3, 1, score)] * 2 + [(20, 4, 40, 0)] * 2 + [(40, 1, 1, 0), (40, 2, 7, 0), (40, 3, 20, 0), (40, 4, 20, 0)])
     assert K.top_k(v.limit(0), v.limit(0)).count() == 0 and K.top_k(v, v.limit(0)).count() == 0
     big = K.quantised(spark.createDataFrame([(20, [4e6] * 64), (1, [4e6] * 64)], "vec_id long, embedding array<double>"), "vec_id", "embedding")
     assert K.top_k(big, big).collect()[0]["score"] == (4 * 10**6 * 64) ** 2 * 64
+
+
+def test_top_k_of_an_id_with_two_vectors(spark):
+    rows = [(20, [1.0]), (20, [1.0]), (20, [2.0]), (1, [3.0])]
+    v = K.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted(map(tuple, K.top_k(v, v.where("id = 20")).collect()))
+    one, two = 64 * 64, 2 * 64 * 64
+    assert got == sorted([(20, 1, 1, 3 * one), (20, 2, 20, two), (20, 3, 20, one)] * 2 + [(20, 1, 1, 3 * two), (20, 2, 20, two), (20, 3, 20, two)])
+
+
+def test_products_are_exact_at_any_size():
+    q, x = np.array([[1 << 40, -(1 << 40), 3]]), np.array([[(1 << 30) + 1, 1 << 30, 5], [1 << 21, 7, 1]])
+    assert K.products(q, x).tolist() == [[(1 << 40) + 15, (1 << 61) - 7 * (1 << 40) + 3]]
+    import pytest
+
+    with pytest.raises(OverflowError):
+        K.products(np.array([[1 << 40]]), np.array([[1 << 40]]))
