@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 
 from .common import arrow_columns, sample_by_group, table
 
-#: The bounded sample that languages are learned from: labelled documents for each language, the longest
-#: that is taken, the letters of different words for each language, and the languages (the most frequent ones).
-SAMPLE_DOCS, SAMPLE_LONGEST, SAMPLE_LETTERS, LANGUAGES = 300, 20_000, 40_000, 64
+#: The bounded sample that languages are learned from: labelled documents for each language, the letters taken from one
+#: document (a window at a hashed place of a longer one), the letters of different words for each language, and those of all languages,
+#: which share them evenly if they are many.
+SAMPLE_DOCS, SAMPLE_WINDOW, SAMPLE_LETTERS, ALL_LETTERS = 300, 20_000, 40_000, 2_560_000
 #: Bits for a letter that a language doesn't have.
 UNKNOWN_BITS = 24.0
 WORDS_KEPT, LONGEST_KEPT = 250_000, 48
@@ -140,18 +141,20 @@ def _model(texts: dict[str, str]) -> Model:
 def learn(docs: DataFrame, where: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, str]:
     """The text of each language: different words of a bounded sample of the labelled rows that ``where`` allows.
 
-    The sample goes by hashed key, so it doesn't depend on the order of rows. Rows without text or language are left out.
+    Every label that occurs is learned. The sample goes by hashed key, so it doesn't depend on the order of rows; of a very long text it takes a
+    window. Rows without text or language are left out; an empty table teaches nothing.
     """
-    allowed = where & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= SAMPLE_LONGEST)
-    allowed = F.coalesce(allowed, F.lit(False))
-    common = [r[0] for r in docs.where(allowed).groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()]
-    rows = sample_by_group(docs, lang, key, SAMPLE_DOCS, allowed & F.col(lang).isin(common)).select(lang, text).orderBy(lang, F.xxhash64(text), text)
+    allowed = F.coalesce(where & F.col(lang).isNotNull() & F.col(text).isNotNull(), F.lit(False))
+    languages = docs.where(allowed).select(lang).distinct().count()
+    most = min(SAMPLE_LETTERS, ALL_LETTERS // max(1, languages))
+    start = 1 + F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(31)), F.greatest(F.lit(1), F.length(text) - SAMPLE_WINDOW + 1)).cast("int")
+    rows = sample_by_group(docs, lang, key, SAMPLE_DOCS, allowed).select(lang, F.substring(F.col(text), start, F.lit(SAMPLE_WINDOW)).alias(text)).orderBy(lang, F.xxhash64(text), text)
     words: dict[str, dict[str, None]] = {}
     letters: dict[str, int] = {}
     for x, t in rows.toLocalIterator():
         own = words.setdefault(x, {})
         for w in _WORD.findall(t.lower()):
-            if w not in own and letters.get(x, 0) + len(w) <= SAMPLE_LETTERS:
+            if w not in own and letters.get(x, 0) + len(w) <= most:
                 own[w] = None
                 letters[x] = letters.get(x, 0) + len(w) + 1
     return {x: f" {' '.join(own)} " for x, own in words.items()}
@@ -164,7 +167,7 @@ def predict(docs: DataFrame, texts: dict[str, str], text: str = "text") -> DataF
     first language by code point. Rows are independent of one another and of their order; an empty table stays
     empty; columns that bear the results' names get an underscore.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(texts)  # at most LANGUAGES * SAMPLE_LETTERS letters
+    shared = docs.sparkSession.sparkContext.broadcast(texts)  # at most ALL_LETTERS letters
 
     def work(column: pa.Array) -> list[pa.Array]:
         model = _model(shared.value)

@@ -58,3 +58,17 @@ def test_full_word_table_starts_again(monkeypatch):
     model = L.Model({"aa": " one two three four ", "bb": " uno dos tres "})
     for _ in range(3):
         assert model.predict("one two three four five")[0] == "aa" and model.predict("uno dos tres")[0] == "bb"
+
+
+def test_every_label_is_learned_and_long_texts_teach(spark):
+    rng = random.Random(21)
+    rows = []
+    for n in range(70):
+        letters = [chr(0x4E00 + 40 * n + i) for i in range(40)]
+        text = " ".join("".join(rng.choices(letters, k=4)) for _ in range(5500 if n == 0 else 12))
+        rows += [(2 * n, text, f"l{n:02}"), (2 * n + 1, text[:200], f"l{n:02}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = L.learn(docs, F.col("doc_id") % 2 == 0)  # of the first language only a long text
+    assert len(learned) == 70
+    got = L.predict(docs.where("doc_id % 2 = 1"), learned).collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
