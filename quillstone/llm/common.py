@@ -14,17 +14,32 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a folder of this machine where that is unset (local runs)."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset a folder of this machine, but for local sessions only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.gettempdir() + "/quillstone-checkpoints"
-    return found
+    if found:
+        return found
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.gettempdir() + "/quillstone-checkpoints"
+
+
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``durable`` has written in this process, once no result that reads them is needed; their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: cuts lineage, survives executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -60,19 +75,19 @@ def running_sum(df: DataFrame, part: list[str], order: list[str | Column], value
     whole ``part``: a first pass sums each (part, salt), a second accumulates those few sums, and the rows are
     then scanned within their salt only.
     """
-    s, v, base = "__salt", "__value", "__base"
+    s, v, base, within = (free_name(df, n) for n in ("__salt", "__value", "__base", "__in"))
     rows = df.withColumn(s, salt.cast("int")).withColumn(v, value)
-    sums = rows.groupBy(*part, s).agg(F.sum(v).alias("__sum"))
+    sums = rows.groupBy(*part, s).agg(F.sum(v).alias(base))
     before = Window.partitionBy(*part).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn(base, F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    sums = sums.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)))
     inner = Window.partitionBy(*part, s).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__in", F.coalesce(F.sum(v).over(inner), F.lit(0)))
+    rows = rows.withColumn(within, F.coalesce(F.sum(v).over(inner), F.lit(0)))
     keys = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*part, s]]
     cond = keys[0]
     for k in keys[1:]:
         cond = cond & k
     joined = rows.alias("r").join(sums.alias("b"), cond)
-    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("r.__in") + F.col(f"b.{base}")).alias(out))
+    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col(f"r.{within}") + F.col(f"b.{base}")).alias(out))
 
 
 def components(edges: DataFrame, name: str, kind: str = "bigint") -> DataFrame:
@@ -109,9 +124,10 @@ def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], wor
     Columns that bear the names of ``fields`` are renamed by underscores. ``done`` runs at the end of a partition, to let go of what
     a worker, which other stages use after this one, has kept.
     """
-    docs = docs.withColumn("__in", F.col(column))
+    given = free_name(docs, "__in")
+    docs = docs.withColumn(given, F.col(column))
     docs = make_room(docs, *[f.name for f in fields])
-    names = [c for c in docs.columns if c != "__in"]
+    names = [c for c in docs.columns if c != given]
     schema = T.StructType([*[docs.schema[c] for c in names], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +140,7 @@ def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], wor
             done()
         pa.default_memory_pool().release_unused()
 
-    return docs.select(*[F.col(f"`{c}`") for c in names], "__in").mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], given).mapInArrow(run, schema)
 
 
 def sample_by_group(docs: DataFrame, group: str, key: str, most: int, where: Column) -> DataFrame:
@@ -134,9 +150,11 @@ def sample_by_group(docs: DataFrame, group: str, key: str, most: int, where: Col
     of one key are taken or left together.
     """
     draw = F.call_function("shiftrightunsigned", F.xxhash64(F.col(key).cast("string"), F.lit(29)), F.lit(11)) / F.lit(2.0**53)
+    g, n = free_name(docs, "__g"), free_name(docs, "__n")
     rows = docs.where(where)
-    counts = rows.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"))
-    return rows.join(counts, F.col(group) == F.col("__g")).where(draw * F.col("__n") < most).drop("__g", "__n")
+    counts = rows.groupBy(F.col(group).alias(g)).agg(F.count("*").alias(n))
+    # one row for each value of a label, so the sample is drawn where the rows are
+    return rows.join(F.broadcast(counts), F.col(group) == F.col(g)).where(draw * F.col(n) < most).drop(g, n)
 
 
 def long_schema(*names: str) -> T.StructType:
