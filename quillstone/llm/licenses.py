@@ -152,17 +152,17 @@ def scan_licenses(docs: DataFrame, text: str = "text", key: str = "doc_id", lice
     ``licenses`` has one row per digest (license_id, digest); the built-in table is broadcast, being fixed and under
     100 rows, any other is left to the planner. Null and empty texts match nothing; ties between names of
     one digest go to the smallest name. Repeated rows get equal results. Lines of 12 to 20,000 characters need no
-    special case: every line of every text is looked up. Columns already named like a result get an underscore.
+    special case: every line of every text is looked up. Columns already named like a result get an underscore. Names that begin with ``__qs_`` are the operator's own.
     """
     docs = make_room(docs, "license_id", "notices", "n_notices", "digest")
     table_ = F.broadcast(known(docs.sparkSession)) if licenses is None else licenses
-    lines = docs.select(F.col(key).alias("__k"), F.xxhash64(text).alias("__h"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("__line"))
+    lines = docs.select(F.col(key).alias("__qs_k"), F.xxhash64(text).alias("__qs_h"), F.explode(F.array_distinct(F.split(text, "\n"))).alias("__qs_line"))
     # never null, so that the join adds no filter on it, which would work out the digest a second time
     digest = lambda c: F.coalesce(F.sha2(canonical(F.col(c)), 256), F.lit(""))
-    hits = lines.where(F.trim("__line") != "").withColumn("digest", digest("__line")).join(table_, "digest")
-    hits = hits.groupBy("__k", "__h").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
+    hits = lines.where(F.trim("__qs_line") != "").withColumn("digest", digest("__qs_line")).join(table_, "digest")
+    hits = hits.groupBy("__qs_k", "__qs_h").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
     whole = docs.withColumn("digest", F.when(F.trim(text) != "", digest(text))).join(table_, "digest", "left").drop("digest")
-    found = whole.withColumn("__h", F.xxhash64(text)).alias("d").join(hits.withColumnRenamed("__h", "__h2"), F.col(key).eqNullSafe(F.col("__k")) & (F.col("__h") == F.col("__h2")), "left").drop("__k", "__h", "__h2")
+    found = whole.withColumn("__qs_h", F.xxhash64(text)).alias("d").join(hits.withColumnRenamed("__qs_h", "__qs_h2"), F.col(key).eqNullSafe(F.col("__qs_k")) & (F.col("__qs_h") == F.col("__qs_h2")), "left").drop("__qs_k", "__qs_h", "__qs_h2")
     return found.withColumn("notices", F.coalesce("notices", F.array().cast("array<string>"))).withColumn("n_notices", F.size("notices").cast("long"))
 
 

@@ -78,14 +78,14 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", key: str
     """``docs`` with size, source_size, target, rate and copies (an int from 0 to ``cap``); all columns stay.
 
     ``size`` is an expression over ``docs`` (a count; null counts as 0). A null source is a source of its own.
-    Documents of size 0 keep one copy and add no words; a source without words has target 0. Equal rows may
+    Very long texts are large sizes and no more. Documents of size 0 keep one copy and add no words; a source without words has target 0. Equal rows may
     differ in copies, but their number with each is fixed. ``key`` and the size alone decide, so reruns agree;
     repeated keys are separate documents. An empty table gives an empty table. Columns of ``docs`` that bear a
-    result's name are kept under that name plus an underscore.
+    result's name are kept under that name plus an underscore. Names that begin with ``__qs_`` are the operator's own.
     """
-    src = "__source"
-    docs = docs.withColumns({"__size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), src: F.col(source).cast("string"), "__key": F.col(key)})
-    docs, key = make_room(docs, "size", "source_size", "target", "rate", "copies").withColumnRenamed("__size", "size"), "__key"
+    src = "__qs_source"
+    docs = docs.withColumns({"__qs_size": F.coalesce(size.cast("long"), F.lit(0).cast("long")), src: F.col(source).cast("string"), "__qs_key": F.col(key)})
+    docs, key = make_room(docs, "size", "source_size", "target", "rate", "copies").withColumnRenamed("__qs_size", "size"), "__qs_key"
     hist = durable(docs.groupBy(F.col(src).alias("source"), "size").agg(F.count("*").alias("docs")), "mix-hist")
     per = hist.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("docs"))).alias("with_words"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
     goal = targets(per.select("source", "source_size"), weights, cap)
@@ -114,13 +114,13 @@ def mix_sources(docs: DataFrame, size: Column, source: str = "source", key: str
     offset = F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
     total = F.floor(F.col("before") + F.col("mass") + offset) - F.floor(F.col("before") + offset)
     total = F.when(F.col("size") == 0, F.col("docs")).otherwise(F.greatest(F.lit(0), F.least(F.col("docs") * cap, total)))
-    plan = rated.select(F.col("source").alias("__s"), F.col("size").alias("__n"), "source_size", "target", "rate", F.floor(total / F.col("docs")).alias("__least"), F.pmod(total, F.col("docs")).alias("__more"))
+    plan = rated.select(F.col("source").alias("__qs_s"), F.col("size").alias("__qs_n"), "source_size", "target", "rate", F.floor(total / F.col("docs")).alias("__qs_least"), F.pmod(total, F.col("docs")).alias("__qs_more"))
     plan = durable(plan, "mix-plan")
-    rows = docs.join(plan, docs[src].eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n"))).drop("__s", "__n")
+    rows = docs.join(plan, docs[src].eqNullSafe(F.col("__qs_s")) & (F.col("size") == F.col("__qs_n"))).drop("__qs_s", "__qs_n")
     salt = F.pmod(F.xxhash64(F.col(key), F.lit(5)), F.lit(SALTS))
-    ranked = running_sum(rows, [src, "size"], [F.xxhash64(F.col(key), F.lit(11)), F.col(key)], F.lit(1), "__rank", salt, SALTS)
-    copies = (F.col("__least") + F.when(F.col("__rank") < F.col("__more"), 1).otherwise(0)).cast("int")
-    return ranked.withColumn("copies", copies).drop("__least", "__more", "__rank", "__key", src)
+    ranked = running_sum(rows, [src, "size"], [F.xxhash64(F.col(key), F.lit(11)), F.col(key)], F.lit(1), "__qs_rank", salt, SALTS)
+    copies = (F.col("__qs_least") + F.when(F.col("__qs_rank") < F.col("__qs_more"), 1).otherwise(0)).cast("int")
+    return ranked.withColumn("copies", copies).drop("__qs_least", "__qs_more", "__qs_rank", "__qs_key", src)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -285,7 +285,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Null texts and texts without words are near no other and are kept. A text of fewer than five words is one shingle. Equal texts
     share a class. Rows of one key are one document, so repeated rows share ``kept``; a null key gets a negative number from
-    its text. Other columns of ``docs`` are ignored. An empty table gives an empty table.
+    its text. Other columns of ``docs`` are ignored. Very long texts
+    are shingled whole, a slice of a batch at a time. Ties between centres and hubs go to the smallest key. An empty table gives an empty table.
     """
     source = docs.select(node_of(key, text).alias("node"), F.col(text).alias("text"))
     hashed = source.select("node", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(41)).alias("h2"), "text")

@@ -61,3 +61,12 @@ def test_rates_meet_targets_exactly_on_many_rows(spark):
     got = mixing.mix_sources(docs, F.col("n")).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("rate") * F.col("size")).alias("r"), F.sum(F.col("copies") * F.col("size")).alias("c")).collect()
     for r in got:
         assert math.isclose(r["r"], r["t"], rel_tol=1e-5) and abs(r["c"] - r["t"]) <= 1500
+
+
+def test_columns_with_internal_looking_names_stay(spark):
+    from quillstone.llm import licenses, sharding
+
+    docs = spark.createDataFrame([(i, "ab"[i % 2], f"w{i} " * (i + 1), f"in{i}", i, "k") for i in range(12)], "doc_id long, source string, text string, `__in` string, `__size` int, `__key` string")
+    for found in (mixing.mix_sources(docs, mixing.words(F.col("text"))), sharding.shard(docs, F.col("text"), shards=3), licenses.scan_licenses(docs)):
+        rows = {r["doc_id"]: (r["__in"], r["__size"], r["__key"]) for r in found.collect()}
+        assert rows == {i: (f"in{i}", i, "k") for i in range(12)}
