@@ -38,10 +38,10 @@ def hide_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as its source's weight asks for; documents without words stay once."""
-    mixed = mixing.mix_sources(docs.withColumn("__words", mixing.words(F.col("text"))), F.col("__words"))
+    mixed = mixing.mix_sources(docs.withColumn("__qs_words", mixing.words(F.col("text"))), F.col("__qs_words"))
     # a clash of names would have renamed a column of docs; the originals come first in any case
     kept = mixed.columns[: len(docs.columns)]
-    repeated = mixed.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    repeated = mixed.where("copies > 0").withColumn("__qs_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(kept, docs.columns, strict=True)])
 
 
