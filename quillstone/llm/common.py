@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -114,6 +115,14 @@ def components(edges: DataFrame, name: str, kind: str = "bigint") -> DataFrame:
         labels = labels.select("node", "root")
 
 
+def give_back() -> None:
+    """Returns freed memory to the system at the end of a partition: a worker goes on to other stages, and its heap would keep their sum."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 #: Bytes of a batch that a worker looks at together, so that what it makes of them stays small.
 SLICE = 4_000_000
 
@@ -138,7 +147,7 @@ def arrow_columns(docs: DataFrame, column: str, fields: list[T.StructField], wor
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *work(part.column(len(names)))], names=[*names, *(f.name for f in fields)])
         if done is not None:
             done()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return docs.select(*[F.col(f"`{c}`") for c in names], given).mapInArrow(run, schema)
 
