@@ -11,19 +11,20 @@ from pyspark.sql.window import Window
 c = F.col
 #: Evidence from the strongest to the weakest kind.
 EVIDENCE = ("attested", "reconstructed", "inferred", "speculative")
-#: Tools that a route may end in.
-CATALOG = ("search", "summarise", "translate", "escalate")
+# The closed catalogue of tools.
+CATALOG = ("none", "inspect_files", "run_tests", "git_status", "escalate")
 
 
 def veto(mentions_secret: Column, mentions_deploy: Column, mentions_destruction: Column, wants_mutation: Column, criticality: Column, requested: Column, catalog: Sequence[str] = CATALOG) -> Column:
-    """The first reason to refuse a task before any model is asked, or null. Shares are in hundredths."""
+    """The first reason to refuse a task before any model is asked, or null. Shares are in hundredths; a requested name is trimmed."""
+    tool = F.trim(requested)
     return (
         F.when(mentions_secret | mentions_deploy | mentions_destruction, "sensitive_or_destructive_task")
         .when(wants_mutation >= 50, "mutation_is_outside_the_closed_catalog")
         .when(criticality >= 85, "critical_task_requires_escalation")
         .when(requested.isNull() | (requested == ""), None)
-        .when(~requested.isin(*catalog), "unknown_requested_tool")
-        .when(requested == "escalate", "caller_requested_escalation")
+        .when(~tool.isin(*catalog), "unknown_requested_tool")
+        .when(tool == "escalate", "caller_requested_escalation")
     )
 
 

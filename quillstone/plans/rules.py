@@ -25,12 +25,12 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lambda m: (k * m % 101).cast("long")
     return read(spark, sf_dir, "customer").select(
         k.alias("id"), c("c_mktsegment").alias("family"), (k % 17 == 0).alias("secret"), (k % 19 == 0).alias("deploy"), (k % 23 == 0).alias("destroy"), p(7).alias("mutation"), p(13).alias("criticality"),
-        F.element_at(F.array(*[F.lit(x) for x in ("search", "", "escalate", "edit", "translate")]), (c("c_nationkey") % 5 + 1).cast("int")).alias("requested"),
+        F.element_at(F.array(*[F.lit(x) for x in ("run_tests", "", "escalate", "edit", " git_status ")]), (c("c_nationkey") % 5 + 1).cast("int")).alias("requested"),
         p(11).alias("reversible"), p(17).alias("blast"), p(29).alias("backup"), p(31).alias("scope"), p(37).alias("protected"), p(41).alias("idempotent"), p(43).alias("failures"),
     )
 
 
-_CU = "cu AS (SELECT c_custkey AS id, c_mktsegment AS family, c_custkey % 17 = 0 AS secret, c_custkey % 19 = 0 AS deploy, c_custkey % 23 = 0 AS destroy, ['search', '', 'escalate', 'edit', 'translate'][c_nationkey % 5 + 1] AS requested, " + ", ".join(f"c_custkey * {m} % 101 AS {n}" for m, n in ((7, "mutation"), (13, "criticality"), (11, "reversible"), (17, "blast"), (29, "backup"), (31, "scope"), (37, "protected"), (41, "idempotent"), (43, "failures"))) + " FROM customer)"
+_CU = "cu AS (SELECT c_custkey AS id, c_mktsegment AS family, c_custkey % 17 = 0 AS secret, c_custkey % 19 = 0 AS deploy, c_custkey % 23 = 0 AS destroy, ['run_tests', '', 'escalate', 'edit', ' git_status '][c_nationkey % 5 + 1] AS requested, " + ", ".join(f"c_custkey * {m} % 101 AS {n}" for m, n in ((7, "mutation"), (13, "criticality"), (11, "reversible"), (17, "blast"), (29, "backup"), (31, "scope"), (37, "protected"), (41, "idempotent"), (43, "failures"))) + " FROM customer)"
 _RISK = "28 * (100 - reversible) + 20 * blast + 18 * (100 - backup) + 14 * scope + 10 * protected + 5 * (100 - idempotent) + 5 * failures"
 _LABEL = f"CASE WHEN protected >= 50 AND backup < 50 THEN 'dangerous' WHEN {_RISK} >= 4500 THEN 'dangerous' WHEN {_RISK} >= 2500 THEN 'review' ELSE 'safe' END"
 
@@ -258,7 +258,7 @@ _KW = ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(text), '{w}')" for w
 _LATEST = "la AS (SELECT event_type, user_id, event_id, CAST(round_even(value * 100, 0) AS BIGINT) AS value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1)"
 _GROUPS = "SELECT sha256(text) AS digest, min(doc_id) AS canonical, count(*) AS copies, CAST(strlen(text) * (count(*) - 1) AS BIGINT) AS bytes_saved FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1"
 ORACLES = {
-    "tool_veto": f"WITH {_CU}, v AS (SELECT id, requested, CASE WHEN secret OR deploy OR destroy THEN 'sensitive_or_destructive_task' WHEN mutation >= 50 THEN 'mutation_is_outside_the_closed_catalog' WHEN criticality >= 85 THEN 'critical_task_requires_escalation' WHEN requested = '' THEN '' WHEN requested NOT IN ('search', 'summarise', 'translate', 'escalate') THEN 'unknown_requested_tool' WHEN requested = 'escalate' THEN 'caller_requested_escalation' ELSE '' END AS reason FROM cu) SELECT id, reason, CASE WHEN reason <> '' THEN 'escalate' WHEN requested = '' THEN 'retrieve' ELSE requested END AS next FROM v",
+    "tool_veto": f"WITH {_CU}, v AS (SELECT id, requested, CASE WHEN secret OR deploy OR destroy THEN 'sensitive_or_destructive_task' WHEN mutation >= 50 THEN 'mutation_is_outside_the_closed_catalog' WHEN criticality >= 85 THEN 'critical_task_requires_escalation' WHEN requested = '' THEN '' WHEN trim(requested) NOT IN ('none', 'inspect_files', 'run_tests', 'git_status', 'escalate') THEN 'unknown_requested_tool' WHEN requested = 'escalate' THEN 'caller_requested_escalation' ELSE '' END AS reason FROM cu) SELECT id, reason, CASE WHEN reason <> '' THEN 'escalate' WHEN requested = '' THEN 'retrieve' ELSE requested END AS next FROM v",
     "risk_label": f"WITH {_CU} SELECT id, {_RISK} AS risk, {_LABEL} AS label FROM cu",
     "consequence_agreement": _CONS,
     "tier_router": _ROUTE,

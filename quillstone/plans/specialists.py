@@ -5,38 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.operators import features as X
+from quillstone.functions.numeric import fixed
+from quillstone.operators import perception as Q
 from quillstone.operators import specialists as S
-from quillstone.plans.features import prosody
-from quillstone.plans.raster import LUM, PX, d, pixels
+from quillstone.plans import perception
+from quillstone.plans.perception import _out
+from quillstone.plans.raster import PX, d, pixels
 
 c = F.col
 EVERY = 5
 
 
+def asked(name: str, rows: DataFrame) -> DataFrame:
+    """Every fifth row against all others."""
+    return S.ask(name, rows.where(c("id") % EVERY == 0), rows)
+
+
 def flat_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth image against all others; exemplars are called light or dark by their mean luma."""
-    a = X.anomaly(pixels(spark, sf_dir))
-    part = lambda x, whole: F.expr(f"({x}) * 1000000 div ({whole})") / F.lit(1e6)
-    rows = a.select(
-        c("image_id").alias("id"), part("luma_sum", "pixels * 2550000").alias("luma_std"), part("chroma_sum", "pixels * 255").alias("chroma"), part("dark", "pixels").alias("chroma_std"), part("r_sum", "pixels * 255").alias("unique_ratio"), part("b_sum", "pixels * 255").alias("channel_span"),
-        F.when(c("luma_sum") * 2 >= c("pixels") * 2_550_000, "light").otherwise("dark").alias("label"),
-    )
-    return S.ask("flat-color", rows.where(c("id") % EVERY == 0), rows)
+    """Images against images; exemplars with much spread of luma are called textured."""
+    rows = Q.flat_color(pixels(spark, sf_dir)).withColumnRenamed("image_id", "id")
+    return asked("flat-color", rows.withColumn("label", F.when(fixed(c("luma_std")) >= 500_000, "textured").otherwise("flat")))
 
 
 def prosody_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth user's rhythm against users of the same remainder by three; exemplars are iambic or trochaic."""
-    p = prosody(spark, sf_dir)
-    part = lambda x, whole: F.expr(f"({x}) * 1000000L div ({whole})") / F.lit(1e6)
-    rows = p.select(
-        c("series").alias("id"), (c("series") % 3).cast("string").alias("language_id"), part("stressed", "syllables").alias("stress_ratio"), part("iambs", "syllables").alias("iamb_ratio"), part("trochees", "syllables").alias("trochee_ratio"),
-        part("least(final, duration_sum)", "duration_sum").alias("duration_cv"), F.lit(0.5).alias("final_lengthening"), F.lit(0.25).alias("late_stress"), F.when(c("iambs") >= c("trochees"), "iambic").otherwise("trochaic").alias("label"),
-    )
-    return S.ask("prosody", rows.where(c("id") % EVERY == 0), rows)
+    """Users' rhythm against users of the same remainder by three; exemplars are iambic or trochaic."""
+    rows = Q.rhythm(perception.syllables(spark, sf_dir)).withColumnRenamed("series", "id")
+    return asked("prosody", rows.withColumn("language_id", (c("id") % 3).cast("string")).withColumn("label", F.when(c("iamb_ratio") >= c("trochee_ratio"), "iambic").otherwise("trochaic")))
+
+
+def _frames(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", c("series") * 100_000 + c("frame"))
+
+
+def voice_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of samples against frames; exemplars with many crossings are called noise."""
+    rows = _frames(Q.voice(perception.frames(spark, sf_dir)))
+    return asked("voice-activity", rows.withColumn("label", F.when(fixed(c("zcr")) >= 500_000, "noise").otherwise("voice")))
+
+
+def recording_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of samples against frames; exemplars that clip are called clipped."""
+    rows = _frames(Q.recording(perception.frames(spark, sf_dir)))
+    return asked("recording-quality", rows.withColumn("label", F.when(c("clipping") > 0, "clipped").otherwise("clean")))
 
 
-QUERIES = {"specialist_flat_color": flat_color, "specialist_prosody": prosody_votes, "specialist_list": lambda s, f: S.listed(s)}
+QUERIES = {"specialist_flat_color": flat_color, "specialist_prosody": prosody_votes, "specialist_voice": voice_votes, "specialist_recording": recording_votes, "specialist_list": lambda s, f: S.listed(s)}
 
 
 def _vote(features: int, minimum: float, cap: float) -> str:
@@ -48,8 +61,15 @@ def _vote(features: int, minimum: float, cap: float) -> str:
 
 _FLAT = S.SPECIALISTS["flat-color"]
 _PROSODY = S.SPECIALISTS["prosody"]
+_VOICE = S.SPECIALISTS["voice-activity"]
+_RECORDING = S.SPECIALISTS["recording-quality"]
 ORACLES = {
-    "specialist_flat_color": f"WITH {PX}, g AS (SELECT image_id AS id, count(*) AS n, sum({LUM}) AS l, sum(greatest(r, g, b) - least(r, g, b)) AS ch, count(*) FILTER ({LUM} < 640000) AS dk, sum(r) AS rs, sum(b) AS bs FROM px GROUP BY 1), r AS (SELECT id, 'all' AS key, CASE WHEN l * 2 >= n * 2550000 THEN 'light' ELSE 'dark' END AS label, [l * 1000000 // (n * 2550000), ch * 1000000 // (n * 255), dk * 1000000 // n, rs * 1000000 // (n * 255), bs * 1000000 // (n * 255)] AS v FROM g), {_vote(5, _FLAT.minimum, _FLAT.cap)}",
-    "specialist_prosody": f"WITH e AS (SELECT user_id AS id, event_type = 'click' AS st, CAST(round_even(value * 100, 0) AS BIGINT) AS du, lead(event_type = 'click') OVER w AS nx FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT id, count(*) AS n, count(*) FILTER (st) AS s, count(*) FILTER (NOT st AND nx) AS ia, count(*) FILTER (st AND NOT nx) AS tr, sum(du) AS ds, max(du) FILTER (nx IS NULL) AS fi FROM e GROUP BY 1), r AS (SELECT id, CAST(id % 3 AS VARCHAR) AS key, CASE WHEN ia >= tr THEN 'iambic' ELSE 'trochaic' END AS label, [s * 1000000 // n, ia * 1000000 // n, tr * 1000000 // n, least(fi, ds) * 1000000 // ds, 500000, 250000] AS v FROM g), {_vote(6, _PROSODY.minimum, _PROSODY.cap)}",
-    "specialist_list": "SELECT * FROM (VALUES " + ", ".join(f"('{s.name}', {len(s.features)}, {round(s.minimum * 100)}, '{s.key or ''}', {s.fewest}, {round(s.cap * 100)})" for s in S.SPECIALISTS.values()) + ") t(name, features, minimum, isolation, fewest, cap)",
+    "specialist_flat_color": f"WITH {PX}, {perception.FLAT}, f AS ({_out('image_id', perception.FLAT_PARTS, 'fl WHERE n >= 4')}), r AS (SELECT image_id AS id, 'all' AS key, CASE WHEN luma_std >= 500000 THEN 'textured' ELSE 'flat' END AS label, [{', '.join(_FLAT.features)}] AS v FROM f), {_vote(5, _FLAT.minimum, _FLAT.cap)}",
+    "specialist_prosody": f"WITH {perception.RHYTHM}, f AS ({_out('series', perception.RHYTHM_PARTS, 'rh')}), r AS (SELECT series AS id, CAST(series % 3 AS VARCHAR) AS key, CASE WHEN iamb_ratio >= trochee_ratio THEN 'iambic' ELSE 'trochaic' END AS label, [{', '.join(_PROSODY.features)}] AS v FROM f), {_vote(6, _PROSODY.minimum, _PROSODY.cap)}",
+    "specialist_voice": f"WITH {perception.SERIES}, f AS ({_out('series, frame', perception.VOICE, 'fe')}), r AS (SELECT series * 100000 + frame AS id, 'all' AS key, CASE WHEN zcr >= 500000 THEN 'noise' ELSE 'voice' END AS label, [{', '.join(_VOICE.features)}] AS v FROM f), {_vote(5, _VOICE.minimum, _VOICE.cap)}",
+    "specialist_recording": f"WITH {perception.SERIES}, f AS ({_out('series, frame', perception.RECORDING, 'fe')}), r AS (SELECT series * 100000 + frame AS id, 'all' AS key, CASE WHEN clipping > 0 THEN 'clipped' ELSE 'clean' END AS label, [{', '.join(_RECORDING.features)}] AS v FROM f), {_vote(5, _RECORDING.minimum, _RECORDING.cap)}",
+    # the contract of each specialist, written out
+    "specialist_list": """SELECT name, features, minimum, isolation, 3 AS fewest, cap FROM (VALUES ('tool-router', 6, 62, '', 95), ('consequence', 8, 72, 'family', 90), ('prosody', 6, 85, 'language_id', 90), ('visual-anomaly', 7, 40, 'domain', 95),
+ ('consistency', 7, 72, 'family', 90), ('flat-color', 5, 70, '', 100), ('voice-activity', 5, 70, '', 100), ('recording-quality', 5, 75, '', 100), ('panel-crop', 6, 55, 'family', 100), ('speech-bubble', 6, 80, '', 100),
+ ('sprite-anchor', 7, 70, 'family', 90), ('texture-repeat', 6, 72, 'family', 90), ('texture-orientation', 7, 72, 'family', 90), ('tileability', 7, 70, 'family', 95), ('integration-method', 5, 72, '', 100), ('clip-loop', 7, 70, 'family', 90)) t(name, features, minimum, isolation, cap)""",
 }
