@@ -18,8 +18,9 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, width: int) -> DataFr
     """(query_id, rank, id, d2): the ``k`` rows of ``memory`` nearest to each query with the same key.
 
     Both sides are (id, key, v): integers of at most 2 ** 28 in ``width`` places; a null key meets nothing. d2 is the squared distance,
-    exact; ties go to the smaller id; a query never finds its own id. Blocks of bounded size meet inside a key, so a hot
-    key is spread over many tasks and no pair is written out: a task returns its k best for each query.
+    exact; ties go to the smaller id; a query never finds its own id. Blocks of bounded size meet inside a key: the blocks of queries
+    are repeated for every block of memory and joined by key and block, so a hot key is spread over as many
+    tasks as it has blocks, and no pair is written out: a task returns its k best for each query.
     """
 
     def blocks(side: DataFrame, size: int) -> DataFrame:
@@ -44,9 +45,12 @@ def nearest(queries: DataFrame, memory: DataFrame, k: int, width: int) -> DataFr
                 keep = near < np.iinfo(np.int64).max
                 yield pd.DataFrame({"query_id": np.repeat(qi, order.shape[1])[keep.ravel()], "id": mi[order].ravel()[keep.ravel()], "d2": near.ravel()[keep.ravel()]})
 
-    q = pack(queries.select("id", F.col("key").cast("string").alias("key"), "v"), QUERY_BLOCK, "q").drop("block")
-    m = pack(memory.select("id", F.col("key").cast("string").alias("key"), "v"), MEMORY_BLOCK, "m").drop("block")
-    found = q.join(m, "key").mapInPandas(best, "query_id long, id long, d2 long")
+    memory = memory.select("id", F.col("key").cast("string").alias("key"), "v")
+    m = pack(memory, MEMORY_BLOCK, "m")
+    cuts = memory.where(F.col("key").isNotNull()).groupBy("key").agg(F.ceil(F.count("*") / MEMORY_BLOCK).cast("int").alias("cuts"))
+    q = pack(queries.select("id", F.col("key").cast("string").alias("key"), "v"), QUERY_BLOCK, "q").drop("block").join(cuts, "key")
+    q = q.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).drop("cuts")
+    found = q.join(m, ["key", "block"]).select("qids", "qx", "mids", "mx").mapInPandas(best, "query_id long, id long, d2 long")
     order = Window.partitionBy("query_id").orderBy("d2", "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "d2")
 
@@ -81,10 +85,12 @@ def lexical(queries: DataFrame, memory: DataFrame, k: int = 5, num: int = 34, de
     the similarity share one of their first size - ceil(t * size) + 1 tokens in order of frequency, so common words make no candidates.
     sim and score are integers in millionths; order is by score, sim, then id. A row never finds itself.
     """
-    frequency = memory.select("domain", F.explode("tokens").alias("token")).groupBy("domain", "token").agg(F.count("*").alias("df"))
+    # candidates go by hashes of tokens, which are short; what two tokens of one hash bring in is left out by the comparison of the tokens
+    hashes = lambda side, *more: side.select(*more, F.explode(F.transform("tokens", lambda t: F.xxhash64("domain", t))).alias("token"))
+    frequency = hashes(memory).groupBy("token").agg(F.count("*").cast("int").alias("df"))
 
     def prefix(side: DataFrame) -> DataFrame:
-        rows = side.select("id", "domain", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(frequency, ["domain", "token"], "left")
+        rows = hashes(side, "id", "domain", F.size("tokens").alias("size")).join(frequency, "token", "left")
         place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "token"))
         most = F.col("size") - F.ceil(F.lit(num) * F.col("size") / den) + 1
         return rows.withColumn("place", place).where(F.col("place") <= most).select("id", "domain", "token", "size", "place")
