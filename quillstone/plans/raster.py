@@ -83,27 +83,33 @@ def _blends_sql() -> str:
     return both + " UNION ALL ".join(f" SELECT image_id, y, x, {f(m)}, '{m}' AS mode FROM j" for m in R.BLEND_MODES)
 
 
+def oblong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pixels of each image, as 5 rows of 20."""
+    place = F.col("y") * SIDE + F.col("x")
+    return pixels(spark, sf_dir).withColumn("place", place).select("image_id", F.floor(F.col("place") / 20).cast("int").alias("y"), (F.col("place") % 20).cast("int").alias("x"), "r", "g", "b")
+
+
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px, out = pixels(spark, sf_dir).where("x < 7"), None
+    px, out = oblong(spark, sf_dir), None
     for name in ("flip_horizontal", "flip_vertical", "rotate_90", "rotate_180", "rotate_270"):
         part = R.transform(px, name).withColumn("turn", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-_TURNS = {"flip_horizontal": ("y", "6 - x"), "flip_vertical": ("9 - y", "x"), "rotate_90": ("x", "9 - y"), "rotate_180": ("9 - y", "6 - x"), "rotate_270": ("6 - x", "y")}
+_TURNS = {"flip_horizontal": ("y", "19 - x"), "flip_vertical": ("4 - y", "x"), "rotate_90": ("x", "4 - y"), "rotate_180": ("4 - y", "19 - x"), "rotate_270": ("19 - x", "y")}
 
 
 def orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px, out = pixels(spark, sf_dir).where("x < 7"), None
+    px, out = oblong(spark, sf_dir), None
     for i in range(1, 9):
         part = R.auto_orient(px, i).withColumn("orientation", F.lit(i))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-_ORIENT = {1: ("y", "x"), 2: ("y", "6 - x"), 3: ("9 - y", "6 - x"), 4: ("9 - y", "x"), 5: ("x", "y"), 6: ("x", "9 - y"), 7: ("6 - x", "9 - y"), 8: ("6 - x", "y")}
-_MOVED = lambda table, tag, quote: f"WITH {PX}" + " UNION ALL ".join(f" SELECT image_id, CAST({y} AS INT) AS y, CAST({x} AS INT) AS x, r, g, b, {quote}{k}{quote} AS {tag} FROM px WHERE x < 7" for k, (y, x) in table.items())
+_ORIENT = {1: ("y", "x"), 2: ("y", "19 - x"), 3: ("4 - y", "19 - x"), 4: ("4 - y", "x"), 5: ("x", "y"), 6: ("x", "4 - y"), 7: ("19 - x", "4 - y"), 8: ("19 - x", "y")}
+_MOVED = lambda table, tag, quote: f"WITH {PX}, ob AS (SELECT image_id, CAST((y * 10 + x) // 20 AS INT) AS y, CAST((y * 10 + x) % 20 AS INT) AS x, r, g, b FROM px)" + " UNION ALL ".join(f" SELECT image_id, CAST({y} AS INT) AS y, CAST({x} AS INT) AS x, r, g, b, {quote}{k}{quote} AS {tag} FROM ob" for k, (y, x) in table.items())
 
 
 def _kernel(kernel, div: float = 1.0, offset: float = 0.0) -> str:
