@@ -12,6 +12,16 @@ from pyspark.sql.window import Window
 QUERY_BLOCK, MEMORY_BLOCK = 512, 8192
 #: Similarity below which a memory row is no neighbour, fewest neighbours of a vote, and the cap of a confidence.
 MIN_SIMILARITY, MIN_NEIGHBOURS, CAP = 0.70, 3, 0.95
+# Stop words of lexical profiles.
+PROFILES = {
+    "exact": (),
+    "fr-en": tuple(
+        "a an the this that these those of to for in on at with by and i me my you your we our he his she her it its they their "
+        "is are was were be been how what which can do does "
+        "le la les l un une des du de d et en pour avec sur dans au aux à je j tu nous vous il elle ils elles ce cet cette ces est sont "
+        "comment quel quelle quels quelles moi me mon ma mes ton ta tes son sa ses votre vos".split()
+    ),
+}
 
 
 def nearest(queries: DataFrame, memory: DataFrame, k: int, width: int) -> DataFrame:
@@ -78,6 +88,13 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
+def content(words: Column, profile: str = "exact") -> Column:
+    """``words`` without the stop words of a profile; unknown profiles are refused. A row that is left without words makes no candidates."""
+    if profile not in PROFILES:
+        raise ValueError(f"lexical profile must be one of {', '.join(PROFILES)}")
+    return F.array_except(words, F.array(*map(F.lit, PROFILES[profile]))) if PROFILES[profile] else words
+
+
 def lexical(queries: DataFrame, memory: DataFrame, k: int = 5, num: int = 34, den: int = 100) -> DataFrame:
     """(query_id, rank, id, sim, score): the best ``k`` of ``memory`` by Jaccard similarity of at least num/den times a weight.
 
