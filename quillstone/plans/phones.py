@@ -25,10 +25,10 @@ def _features(key: str) -> Column:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as phones of five languages; 40 symbols, and evidence by remainders."""
+    """Parts as phones of five languages, with a symbol for each set of features but for every 61st, and evidence by remainders."""
     p = read(spark, sf_dir, "part")
     evidence = F.when(c("p_partkey") % 31 == 0, "inferred").when(c("p_partkey") % 7 == 0, "reconstructed").otherwise("attested")
-    return p.select(c("p_partkey").alias("id"), (c("p_partkey") % 5).alias("language_id"), F.concat(F.lit("p"), c("p_partkey") % 40).alias("ipa"), evidence.alias("evidence"), _features("p_partkey").alias("features"))
+    return p.select(c("p_partkey").alias("id"), (c("p_partkey") % 5).alias("language_id"), F.concat(F.lit("p"), F.when(c("p_partkey") % 61 == 0, 99).otherwise(c("p_partkey") % 21)).alias("ipa"), evidence.alias("evidence"), _features("p_partkey").alias("features"))
 
 
 def speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,13 +51,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = F.when(c("k") % 13 == 0, "Guessed").when(c("k") % 7 == 0, "Reconstructed").otherwise("ATTESTED")
     source = F.when(c("k") % 17 == 0, "").otherwise("table")
     v = F.when(c("k") % 19 == 0, F.array(F.lit(1.5))).otherwise(_whole("k"))
-    rows = p.select(c("k").alias("record"), F.concat(F.lit("p"), c("k") % 40).alias("symbol"), F.concat(F.lit("l"), c("k") % 5).alias("language"), v.alias("v"), evidence.alias("evidence"), source.alias("source"))
+    rows = p.select(c("k").alias("record"), F.concat(F.lit("p"), F.when(c("k") % 211 == 0, 99).otherwise(c("k") % 21)).alias("symbol"), F.concat(F.lit("l"), c("k") % 5).alias("language"), v.alias("v"), evidence.alias("evidence"), source.alias("source"))
     return H.registered(rows)
 
 
 def _askers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "supplier").select(c("s_suppkey").alias("id"))
-    return s.select("id", F.concat(F.lit("l"), c("id") % 5).alias("language"), F.when(c("id") % 3 == 0, c("id")).otherwise(c("id") * 37 + 11).alias("k")).withColumn("v", _whole("k")).drop("k")
+    return s.select("id", F.concat(F.lit("l"), c("id") % 5).alias("language"), F.when(c("id") % 3 == 0, c("id")).otherwise(c("id") * 37 + 11).alias("k")).withColumn("v", F.transform(_whole("k"), lambda x: F.when(c("id") % 7 == 0, x / 2).otherwise(x))).drop("k")
 
 
 def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,16 +102,16 @@ _VECTOR = lambda k: "[" + ", ".join(f"CAST(round_even({k} * {m} % 21 / {d(20.0)}
 _ASK = "CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey ELSE s_suppkey * 37 + 11 END"
 _DIFF = lambda n: f"list_filter(list_transform(range(1, {n + 1}), lambda i: (q.v[i] - m.v[i]) * (q.v[i] - m.v[i])), lambda x: x IS NOT NULL)"
 _SAME = " AND ".join(f"qv[{i}] IS NOT DISTINCT FROM mv[{i}]" for i in range(1, 9))
-_PHONE = f"""m AS (SELECT p_partkey AS phone, p_partkey % 5 AS l, 'p' || p_partkey % 40 AS ipa, CASE WHEN p_partkey % 31 = 0 THEN 3 WHEN p_partkey % 7 = 0 THEN 2 ELSE 1 END AS e, {_FEATURE('p_partkey')} AS v FROM part),
+_PHONE = f"""m AS (SELECT p_partkey AS phone, p_partkey % 5 AS l, 'p' || CASE WHEN p_partkey % 61 = 0 THEN 99 ELSE p_partkey % 21 END AS ipa, CASE WHEN p_partkey % 31 = 0 THEN 3 WHEN p_partkey % 7 = 0 THEN 2 ELSE 1 END AS e, {_FEATURE('p_partkey')} AS v FROM part),
  q AS (SELECT s_suppkey AS id, s_suppkey % 5 AS l, {_FEATURE(f'({_ASK})')} AS v FROM supplier),
  p0 AS (SELECT id, phone, ipa, e, q.v AS qv, m.v AS mv, {_DIFF(8)} AS g FROM q JOIN m USING (l)),
  p1 AS (SELECT id, phone, ipa, e, {_SAME} AS same, CAST(round_even(greatest({d(0.0)}, {d(1.0)} - sqrt(CAST(list_sum(g) AS DOUBLE)) / {d(1e6)} / sqrt(CAST(len(g) AS DOUBLE))) * 1e6, 0) AS BIGINT) AS sim FROM p0 WHERE len(g) >= 3),
  p2 AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, phone) AS k, max(sim) OVER (PARTITION BY id) AS top FROM p1 WHERE sim >= 500000),
  r AS (SELECT q.id, count(k) FILTER (k <= 5) AS n, CAST(sum(sim) FILTER (k <= 5) AS BIGINT) AS total, max(e) FILTER (k <= 5) AS e, min(ipa) FILTER (k = 1) AS ipa, bool_or(same) FILTER (k = 1) AS same, count(DISTINCT ipa) FILTER (sim = top) AS ways FROM q LEFT JOIN p2 USING (id) GROUP BY q.id),
  z AS (SELECT *, CASE WHEN n < 3 THEN 'too_few_similar_phones' WHEN ways > 1 THEN 'ambiguous_nearest_phones' ELSE '' END AS reason FROM r)"""
-_RECORDS = f"""r0 AS (SELECT p_partkey AS record, 'p' || p_partkey % 40 AS symbol, 'l' || p_partkey % 5 AS language, {_VECTOR('p_partkey')} AS v, CASE WHEN p_partkey % 13 = 0 THEN 'guessed' WHEN p_partkey % 7 = 0 THEN 'reconstructed' ELSE 'attested' END AS evidence,
+_RECORDS = f"""r0 AS (SELECT p_partkey AS record, 'p' || CASE WHEN p_partkey % 211 = 0 THEN 99 ELSE p_partkey % 21 END AS symbol, 'l' || p_partkey % 5 AS language, {_VECTOR('p_partkey')} AS v, CASE WHEN p_partkey % 13 = 0 THEN 'guessed' WHEN p_partkey % 7 = 0 THEN 'reconstructed' ELSE 'attested' END AS evidence,
  CASE WHEN p_partkey % 17 = 0 THEN 'needs symbol, language and source' WHEN p_partkey % 13 = 0 THEN 'unknown evidence' WHEN p_partkey % 19 = 0 THEN 'features must be from 0 to 1' ELSE '' END AS problem FROM part),
- q AS (SELECT s_suppkey AS id, 'l' || s_suppkey % 5 AS language, {_VECTOR(f'({_ASK})')} AS v FROM supplier),
+ q AS (SELECT s_suppkey AS id, 'l' || s_suppkey % 5 AS language, list_transform({_VECTOR(f'({_ASK})')}, lambda x: CASE WHEN s_suppkey % 7 = 0 THEN x // 2 ELSE x END) AS v FROM supplier),
  d0 AS (SELECT id, record, symbol, evidence, sqrt(CAST(list_sum({_DIFF(5)}) AS DOUBLE)) / {d(1e6)} AS d FROM q JOIN r0 m USING (language) WHERE problem = ''),
  d1 AS (SELECT id, record, symbol, evidence, CAST(round_even(d * 1e4, 0) AS BIGINT) AS distance, CAST(round_even(greatest({d(0.0)}, {d(1.0)} - d / {d(2.0)}) * 1e4, 0) AS BIGINT) AS confidence FROM d0),
  n AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, record) AS INT) AS place, symbol, evidence, distance, confidence FROM d1)"""
