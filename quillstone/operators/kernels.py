@@ -72,29 +72,45 @@ def median_cut(px: DataFrame, colours: int) -> DataFrame:
     return px.groupBy("image_id").applyInPandas(one, "image_id long, entry int, r int, g int, b int")
 
 
+def _flood(cells: dict[tuple[int, int], object], width: int) -> dict[tuple[int, int], int]:
+    """The 4-connected part of equal values that each cell is in, named by its first cell in reading order, counted along rows."""
+    name: dict[tuple[int, int], int] = {}
+    for start in sorted(cells):
+        if start in name:
+            continue
+        todo, label = [start], start[0] * width + start[1]
+        name[start] = label
+        while todo:
+            y, x = todo.pop()
+            for near in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                if near in cells and near not in name and cells[near] == cells[start]:
+                    name[near] = label
+                    todo.append(near)
+    return name
+
+
 def components(mask: DataFrame) -> DataFrame:
     """(image_id, y, x, component): 4-connected parts of each mask, named by their first pixel in reading order, counted along rows."""
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        width = int(rows["x"].max()) + 1
-        on = {(y, x) for y, x, m in zip(rows["y"], rows["x"], rows["m"], strict=True) if m}
-        name: dict[tuple[int, int], int] = {}
-        for start in sorted(on):
-            if start in name:
-                continue
-            todo, label = [start], start[0] * width + start[1]
-            name[start] = label
-            while todo:
-                y, x = todo.pop()
-                for near in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
-                    if near in on and near not in name:
-                        name[near] = label
-                        todo.append(near)
+        on = {(y, x): 1 for y, x, m in zip(rows["y"], rows["x"], rows["m"], strict=True) if m}
+        name = _flood(on, int(rows["x"].max()) + 1)
         return pd.DataFrame([(key[0], y, x, v) for (y, x), v in name.items()], columns=["image_id", "y", "x", "component"])
 
     return mask.groupBy("image_id").applyInPandas(one, "image_id long, y int, x int, component long")
 
 
+def colour_regions(px: DataFrame) -> DataFrame:
+    """(image_id, y, x, r, g, b, component): 4-connected parts of one colour of each image, named as ``components`` names them."""
+
+    def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        cells = {(y, x): (r, g, b) for y, x, r, g, b in rows[["y", "x", "r", "g", "b"]].itertuples(index=False)}
+        name = _flood(cells, int(rows["x"].max()) + 1)
+        return pd.DataFrame([(key[0], y, x, *cells[y, x], v) for (y, x), v in name.items()], columns=["image_id", "y", "x", "r", "g", "b", "component"])
+
+    return px.groupBy("image_id").applyInPandas(one, "image_id long, y int, x int, r int, g int, b int, component long")
+
+
 def fill(px: DataFrame, hole: DataFrame) -> DataFrame:
     """Each pixel of ``hole`` (image_id, y, x) as the pixel outside it whose known 3 x 3 surroundings differ least, from the edge inwards."""
 

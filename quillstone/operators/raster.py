@@ -215,8 +215,8 @@ def resample_box(px: DataFrame, height: int, width: int) -> DataFrame:
     return both.groupBy(*KEYS).agg(*[channel(F.sum(n) / F.count("*")).alias(n) for n in RGB])
 
 
-def resample_bilinear(px: DataFrame, height: int, width: int) -> DataFrame:
-    """Half-pixel bilinear interpolation, as a sum over the four weighted corners."""
+def corners(px: DataFrame, height: int, width: int) -> DataFrame:
+    """Each pixel of a target with the four source pixels around its centre: channels ar, br, dr, er and so on, and the shares dy, dx."""
     grid = _grid(sizes(px), F.lit(height), F.lit(width))
     sy = (c("y") + F.lit(0.5)) * c("h") / F.lit(float(height)) - F.lit(0.5)
     sx = (c("x") + F.lit(0.5)) * c("w") / F.lit(float(width)) - F.lit(0.5)
@@ -225,9 +225,18 @@ def resample_bilinear(px: DataFrame, height: int, width: int) -> DataFrame:
     grid = grid.withColumn("y1", F.least(c("h") - 1, c("y0") + 1)).withColumn("x1", F.least(c("w") - 1, c("x0") + 1)).withColumns({"dy": c("fy") - c("y0"), "dx": c("fx") - c("x0")})
     for tag, yy, xx in (("a", "y0", "x0"), ("b", "y0", "x1"), ("d", "y1", "x0"), ("e", "y1", "x1")):
         grid = grid.join(px.select("image_id", c("y").alias(yy), c("x").alias(xx), *[c(n).alias(f"{tag}{n}") for n in RGB]), ["image_id", yy, xx])
+    return grid
+
+
+def between(n: str) -> Column:
+    """Channel ``n`` between the corners, before rounding."""
     one = F.lit(1.0)
-    value = lambda n: (c(f"a{n}") * (one - c("dx")) + c(f"b{n}") * c("dx")) * (one - c("dy")) + (c(f"d{n}") * (one - c("dx")) + c(f"e{n}") * c("dx")) * c("dy")
-    return _out(grid, *[channel(value(n)) for n in RGB])
+    return (c(f"a{n}") * (one - c("dx")) + c(f"b{n}") * c("dx")) * (one - c("dy")) + (c(f"d{n}") * (one - c("dx")) + c(f"e{n}") * c("dx")) * c("dy")
+
+
+def resample_bilinear(px: DataFrame, height: int, width: int) -> DataFrame:
+    """Half-pixel bilinear interpolation, as a sum over the four weighted corners."""
+    return _out(corners(px, height, width), *[channel(between(n)) for n in RGB])
 
 
 def neighbours(px: DataFrame, kernel: Sequence[Sequence[float]]) -> DataFrame:
