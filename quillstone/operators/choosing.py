@@ -72,7 +72,7 @@ def resample_by_pattern(px: DataFrame, height: int, width: int, patterns: Sequen
 def tone_curves(px: DataFrame, layers: Sequence[network.Layer]) -> DataFrame:
     """(image_id, gamma, lift, gain, pivot): what a network with eight inputs and four outputs makes of an image's luma."""
     t = P.tone(px)
-    out = t.select("image_id", network.forward(F.array(*[c(n) for n in t.columns if n != "image_id"]), layers).alias("o"))
+    out = network.layered(t, F.array(*[c(n) for n in t.columns if n != "image_id"]), layers, "o")
     return out.select("image_id", (F.lit(0.5) + c("o")[0] * F.lit(1.5)).alias("gamma"), (c("o")[1] * F.lit(0.1)).alias("lift"), (F.lit(0.8) + c("o")[2] * F.lit(0.4)).alias("gain"), c("o")[3].alias("pivot"))
 
 
@@ -99,7 +99,7 @@ def local_features(px: DataFrame) -> DataFrame:
 def adaptive_filter(px: DataFrame, layers: Sequence[network.Layer]) -> DataFrame:
     """Images between a sharpened and a smoothed version, weighted pixel by pixel by a network with four inputs and two outputs; sharp is the first share."""
     f = local_features(px)
-    out = f.select(*KEYS, network.forward(F.array("grad_mag", "norm_var", "hf_energy", "noise_proxy"), layers).alias("o"))
+    out = network.layered(f, F.array("grad_mag", "norm_var", "hf_energy", "noise_proxy"), layers, "o")
     total = c("o")[0] + c("o")[1]
     total = F.when(total == 0, F.lit(1.0)).otherwise(total)
     shares = out.select(*KEYS, (c("o")[0] / total).alias("sharp"), (c("o")[1] / total).alias("smooth"))
