@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillstone.functions.numeric import channel
 from quillstone.operators.raster import KEYS, sizes
 
 c = F.col
+LIGHTS, FLAT = 4, (128, 128, 255)
 
 
 def decode_normals(px: DataFrame, convention: str = "+y") -> DataFrame:
@@ -104,3 +108,65 @@ def luma_height(px: DataFrame) -> DataFrame:
     """(image_id, y, x, v): the scaled luma in whole hundreds, as a height."""
     v: Column = F.floor((2126 * c("r") + 7152 * c("g") + 722 * c("b")) / 100).cast("long")
     return px.select(*KEYS, v.alias("v"))
+
+
+def encode_normals(normals: DataFrame, convention: str = "+y") -> DataFrame:
+    """8-bit colours of (image_id, y, x, nx, ny, nz): directions from -1 to 1 as 0 to 255, without a transfer curve; unknown and zero vectors are flat."""
+    if convention not in ("+y", "-y"):
+        raise ValueError("a convention is +y or -y")
+    length = F.sqrt(c("nx") * c("nx") + c("ny") * c("ny") + c("nz") * c("nz"))
+    rows = normals.withColumn("__n", F.when(length > 1e-12, length))
+    sign = {"nx": 1.0, "ny": 1.0 if convention == "+y" else -1.0, "nz": 1.0}
+    value = lambda n: channel((F.lit(sign[n]) * c(n) / c("__n") + F.lit(1.0)) * F.lit(0.5) * F.lit(255.0))
+    return rows.select(*KEYS, *[F.when(c("__n").isNull(), F.lit(flat)).otherwise(value(n)).alias(to) for n, to, flat in zip(sign, "rgb", FLAT, strict=True)])
+
+
+def light_directions(count: int = 6) -> list[tuple[float, float, float]]:
+    """Unit vectors around the upper hemisphere at heights of 35, 55 and 75 degrees in turn, to six places."""
+    if isinstance(count, bool) or not isinstance(count, int) or count < LIGHTS:
+        raise ValueError(f"at least {LIGHTS} lights are needed")
+    out = []
+    for i in range(count):
+        up, around = math.radians(35 + 20 * (i % 3)), math.tau * i / count
+        out.append(tuple(round(v, 6) for v in (math.cos(up) * math.cos(around), math.cos(up) * math.sin(around), math.sin(up))))
+    return out
+
+
+def checked_lights(lights: Sequence[Sequence[float]]) -> np.ndarray:
+    """The lights as unit vectors; fewer than four, or one that has no direction, is a ValueError."""
+    a = np.array([[float(v) for v in light] if len(light) == 3 else [math.nan] for light in lights if light is not None], dtype=object)
+    if len(lights) < LIGHTS or a.shape != (len(lights), 3):
+        raise ValueError(f"at least {LIGHTS} lights of three components are needed")
+    a = a.astype(float)
+    if not np.isfinite(a).all() or (np.linalg.norm(a, axis=1) <= 1e-9).any():
+        raise ValueError("a light must be finite and not zero")
+    return a / np.linalg.norm(a, axis=1, keepdims=True)
+
+
+def photometric_fit(captures: DataFrame, lights: Sequence[Sequence[float]], ambient: bool = True) -> DataFrame:
+    """(image_id, y, x, nx, ny, nz, albedo, ambient, residual) of captures (image_id, y, x, v): the least-squares normal of one intensity from 0 to 1 for each light.
+
+    The lights are the same for all pixels, so the fit is one constant matrix times v, with no shuffle. With ``ambient`` an unknown constant is fitted too. Lights
+    that leave the fit open, and pixels without light, give null normals and a residual of 1; albedo is 1 at most. An intensity out of range stops the query.
+    """
+    a = checked_lights(lights)
+    model = np.hstack([a, np.ones((len(a), 1))]) if ambient else a
+    n = len(a)
+    fine = (F.size("v") == n) & F.forall("v", lambda x: x.isNotNull() & (x >= 0) & (x <= 1))
+    rows = captures.withColumn("v", F.when(fine, c("v")).otherwise(F.raise_error(F.lit(f"a pixel needs {n} intensities from 0 to 1")).cast("array<double>")))
+    if np.linalg.matrix_rank(model) < model.shape[1]:
+        nothing = [F.lit(None).cast("double").alias(k) for k in ("nx", "ny", "nz")]
+        return rows.select(*KEYS, *nothing, F.when(F.size("v") == n, 0.0).alias("albedo"), F.lit(0.0).alias("ambient"), F.lit(1.0).alias("residual"))
+    dot = lambda row, values: sum((F.lit(float(w)) * v for w, v in zip(row[1:], values[1:], strict=True)), F.lit(float(row[0])) * values[0])
+    seen = [c("v")[i] for i in range(n)]
+    rows = rows.withColumns({f"__g{i}": dot(row, seen) for i, row in enumerate(np.linalg.pinv(model))})
+    length = F.sqrt(c("__g0") * c("__g0") + c("__g1") * c("__g1") + c("__g2") * c("__g2"))
+    rows = rows.withColumn("__n", F.when(length > 1e-6, length))
+    rows = rows.withColumns({k: c(f"__g{i}") / c("__n") for i, k in enumerate(("nx", "ny", "nz"))})
+    known = c("__n").isNotNull()
+    rows = rows.withColumn("albedo", F.when(known, F.least(c("__n"), F.lit(1.0))).otherwise(0.0)).withColumn("ambient", F.when(known, c("__g3")).otherwise(0.0) if ambient else F.lit(0.0))
+    hold = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    off = [hold(c("albedo") * F.greatest(F.lit(0.0), dot(light, [c("nx"), c("ny"), c("nz")])) + c("ambient")) - v for light, v in zip(a, seen, strict=True)]
+    squares = sum((o * o for o in off[1:]), off[0] * off[0])
+    residual = F.when(known, F.least(F.lit(1.0), F.sqrt(squares / F.lit(float(n))))).otherwise(1.0)
+    return rows.select(*KEYS, "nx", "ny", "nz", "albedo", "ambient", residual.alias("residual"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from quillstone.operators import cases, choosing, models, neighbours, network, phones
+from quillstone.operators import cases, choosing, material, models, neighbours, network, phones, preview
 from quillstone.plans import models as plan
 from quillstone.sources import models as M
 
@@ -147,3 +147,34 @@ def test_choosing_odd_images(spark):
     none = spark.createDataFrame([], "image_id long, preset string")
     assert sorted(choosing.filtered(flat, none).collect()) == sorted(flat.collect())
     assert choosing.region_features(flat).first()["area"] == 36
+
+
+def test_photometric_fit(spark):
+    lights = material.light_directions(6)
+    a = material.checked_lights(lights)
+    normal = np.array([0.2, -0.1, 0.97])
+    normal /= np.linalg.norm(normal)
+    v = [float(x) for x in 0.7 * (a @ normal) + 0.05]
+    rows = spark.createDataFrame([(1, 0, 0, v), (1, 0, 1, [0.0] * 6)], "image_id long, y int, x int, v array<double>")
+    found = {r["x"]: r for r in material.photometric_fit(rows, lights).collect()}
+    assert np.allclose([found[0]["nx"], found[0]["ny"], found[0]["nz"]], normal) and math.isclose(found[0]["albedo"], 0.7) and math.isclose(found[0]["ambient"], 0.05)
+    assert found[0]["residual"] < 1e-9 and found[1]["nx"] is None and found[1]["residual"] == 1.0
+    same = material.photometric_fit(rows, [(0, 0, 1)] * 6).collect()
+    assert all(r["nz"] is None and r["residual"] == 1.0 and r["albedo"] == 0.0 for r in same)
+    for bad in ([(0, 0, 1)] * 3, [(0, 0, 0)] * 4, [(0, 1)] * 4, [(0, 0, math.inf)] * 4):
+        with pytest.raises(ValueError):
+            material.checked_lights(bad)
+    with pytest.raises(PySparkException, match="intensities"):
+        material.photometric_fit(rows.withColumn("v", F.array(F.lit(2.0))), lights).collect()
+    colours = material.encode_normals(material.photometric_fit(rows, lights)).where("x = 1").first()
+    assert tuple(colours)[3:] == (128, 128, 255)
+
+
+def test_previews(spark):
+    kind = "image_id long, y int, x int, r int, g int, b int"
+    px = spark.createDataFrame([(1, y, x, 10 * x, 10 * y, 0) for y in range(8) for x in range(16)] + [(2, 0, 0, 5, 6, 7)], kind)
+    found = sorted(tuple(r) for r in preview.reduced(px, 4).collect())
+    assert len([r for r in found if r[0] == 1]) == 8 and found[0] == (1, 0, 0, 15, 15, 0) and found[-1] == (2, 0, 0, 5, 6, 7)
+    for bad in (3, True, 4.0):
+        with pytest.raises(ValueError):
+            preview.report(px, bad)
