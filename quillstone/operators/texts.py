@@ -16,6 +16,8 @@ ERROR_WORDS = {
 }
 # Signs of a stack trace and of program code.
 TRACE = r"traceback|stack trace|at .+\(.+:[0-9]+\)"
+#: A text in brackets, or two bars on one line; spaces, lines and the end of a text are those of RE2 and not Java's.
+STRUCTURE = r"\A[ \t\n\f\r]*[\[{](?s:.*)[\]}][ \t\n\f\r]*\z|\|[^\n]*\|"
 CODE = r"(?m)```|\bdef \b|\bclass \b|\bfunction\b|\bimport \b|=>|;[ \t]*$"
 
 
@@ -43,7 +45,7 @@ def effort_features(text: Column) -> dict[str, Column]:
 
 def compressibility_features(text: Column) -> dict[str, Column]:
     lines = F.split(text, "\n")
-    return {"raw_length": share(F.length(text), 102_400), "repetition": F.floor((F.size(lines) - F.size(F.array_distinct(lines))).cast("long") * 1_000_000 / F.size(lines)).cast("long"), "structure": F.when(text.rlike(r"(?s)^\s*[\[{].*[\]}]\s*$|\|.*\|"), 1).otherwise(0)}
+    return {"raw_length": share(F.length(text), 102_400), "repetition": F.floor((F.size(lines) - F.size(F.array_distinct(lines))).cast("long") * 1_000_000 / F.size(lines)).cast("long"), "structure": F.when(text.rlike(STRUCTURE), 1).otherwise(0)}
 
 
 def clean_json(raw: Column) -> Column:

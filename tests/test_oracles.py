@@ -42,3 +42,22 @@ def test_no_llm_import_outside():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "quillstone.llm" not in p.read_text(), p
+
+
+def odd(spark, tmp_path, name, given, schema, table):
+    """Rows of a query and of its SQL over one table of odd rows."""
+    spark.createDataFrame(given, schema).coalesce(1).write.parquet(str(tmp_path / f"{table}.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    found, want = catalog.QUERIES[name](spark, str(tmp_path)), db.sql(catalog.ORACLES[name])
+    return rows_of(found), rows(want.fetchall(), want.columns)
+
+
+def rows_of(found):
+    return rows([tuple(r) for r in found.collect()], found.columns)
+
+
+def test_compressibility_of_odd_texts(spark, tmp_path):
+    texts = ["a | b\nc | d", "| a |", "|\r|", "|\x85|", "| |", "\x0b[1]", "[1]\x0b", "[1]\n", "[1]\x85", " \t{\n}\r\n", "{} ", "[1]\nx", "x\n[1]", "", "\n", "a\n\na\n", "|\n|", "{|\n}", "\U0001f600é |x|", None]
+    got, want = odd(spark, tmp_path, "compressibility_features", list(enumerate(texts)), "doc_id long, text string", "documents")
+    assert got == want
