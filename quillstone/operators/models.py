@@ -145,8 +145,13 @@ def estimate_gravity(rows: DataFrame, latitude: str, altitude: str, model: dict[
     reference = physics.gravity(c(latitude), c(altitude))
     if model is None:
         return _estimate(rows, reference, reference, None).withColumn("status", F.lit("baseline_only"))
-    rows = network.layered(rows, gravity_inputs(c(latitude), c(altitude)), M.layers(model), "__o")
-    value = F.lit(float(model.get("offset", 0.0))) + c("__o")[0] * F.lit(float(model.get("target_scale", 10.0)))
+    layers, scale, offset = M.layers(model), float(model.get("target_scale", 10.0)), float(model.get("offset", 0.0))
+    weights, biases, activation = layers[-1]
+    if activation == "linear":  # the sum starts from the offset, so that values halfway between two millionths fall as in the SQL
+        layers = [*layers[:-1], ([[float(w) * scale for w in row] for row in weights], [offset + float(b) * scale for b in biases], activation)]
+        scale, offset = 1.0, 0.0
+    rows = network.layered(rows, gravity_inputs(c(latitude), c(altitude)), layers, "__o")
+    value = c("__o")[0] if (scale, offset) == (1.0, 0.0) else F.lit(offset) + c("__o")[0] * F.lit(scale)
     return _estimate(rows, value, reference, model.get("declared_max_abs")).drop("__o")
 
 

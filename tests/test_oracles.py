@@ -61,3 +61,9 @@ def test_compressibility_of_odd_texts(spark, tmp_path):
     texts = ["a | b\nc | d", "| a |", "|\r|", "|\x85|", "| |", "\x0b[1]", "[1]\x0b", "[1]\n", "[1]\x85", " \t{\n}\r\n", "{} ", "[1]\nx", "x\n[1]", "", "\n", "a\n\na\n", "|\n|", "{|\n}", "\U0001f600é |x|", None]
     got, want = odd(spark, tmp_path, "compressibility_features", list(enumerate(texts)), "doc_id long, text string", "documents")
     assert got == want
+
+
+def test_gravity_halfway_between_millionths(spark, tmp_path):
+    keys = [0, 80907, 250185, 289824, 331954, 355889, 395528]
+    got, want = odd(spark, tmp_path, "model_gravity", [(k,) for k in keys], "p_partkey long", "part")
+    assert got == want
