@@ -186,3 +186,26 @@ def test_streams_leave_out_repeats(spark, small, tmp_path):
     events.unionByName(events.limit(50)).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
     assert S.drain(S.once(stream, late="3650 days"), "once").count() == events.count()
+
+
+@pytest.mark.parametrize("num", [15, 34])
+def test_lexical_in_small_blocks_makes_no_pairs(spark, monkeypatch, num):
+    for name, n in (("LEXICAL_QUERIES", 7), ("LEXICAL_MEMORY", 16), ("LEXICAL_STEP", 3), ("LEXICAL_CHUNK", 4)):
+        monkeypatch.setattr(N, name, n)
+    rng = random.Random(5)
+    words = ["a", "b", "\x00", "\x01", "\x01b", "é", *(f"w{i}" for i in range(24))]
+    rows = [(i, rng.choice(["x", "x", "y", None]), sorted(set(rng.choices(words, k=rng.choice([0, 1, 4, 12])))), rng.choice([1000, 400, 200])) for i in range(150)]
+    rows += [(150, "x", [f"v{i}" for i in range(700)], 1000), (151, "x", [f"v{i}" for i in range(20, 720)], 200)]
+    memory = spark.createDataFrame(rows, "id long, domain string, tokens array<string>, weight long")
+    found = N.lexical(memory, memory, k=4, num=num)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "explode(tokens" not in plan
+    got = sorted(map(tuple, found.collect()))
+    want = []
+    for i, d, t, _ in rows:
+        best = []
+        for j, e, u, w in rows:
+            if d is not None and d == e and i != j and (s := len({*t} & {*u})) and s * 100 >= (a := len({*t} | {*u})) * num:
+                best.append((-(s * 1000 * w // a), -(s * 1_000_000 // a), j))
+        want += [(i, r, j, -v, -s) for r, (s, v, j) in enumerate(sorted(best)[:4], 1)]
+    assert got == sorted(want) and any(r[0] == 150 for r in got)
