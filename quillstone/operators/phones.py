@@ -39,20 +39,30 @@ def problems(items: DataFrame) -> DataFrame:
     return items.select("id", problem.alias("problem")).where("problem is not null")
 
 
-def _pairs(queries: DataFrame, inventory: DataFrame, least: float) -> DataFrame:
-    """Each query with the phones of its language that share at least three features and are similar enough; sim in millionths."""
-    own = [fixed(c("features")[n]).alias(f"q_{n}") for n in FEATURES]
-    q = queries.select("id", "language_id", *own)
-    m = inventory.select("language_id", c("id").alias("phone"), "ipa", "evidence", *[fixed(c("features")[n]).alias(f"m_{n}") for n in FEATURES])
-    gap = {n: c(f"q_{n}") - c(f"m_{n}") for n in FEATURES}
-    both = q.join(m, "language_id")
-    both = both.withColumn("shared", sum((g.isNotNull().cast("int") for g in gap.values()), F.lit(0))).where(c("shared") >= SHARED)
-    d2 = sum((F.coalesce(g * g, F.lit(0)) for g in gap.values()), F.lit(0).cast("long"))
+def _vector() -> Column:
+    """The features in millionths in their order, unknown ones null."""
+    return F.array(*[fixed(c("features")[n]) for n in FEATURES])
+
+
+def _pairs(queries: DataFrame, inventory: DataFrame, least: float, k: int) -> DataFrame:
+    """Each different (language_id, qv) with the different vectors of its language that share at least three features and are similar enough.
+
+    A vector of the inventory comes with its ``k`` smallest phones, and the least and greatest ipa of all of its phones: equal phones are equally far from any query.
+    """
+    m = inventory.select("language_id", c("id").alias("phone"), "ipa", _strength(c("evidence")).alias("e"), _vector().alias("mv"))
+    place = F.row_number().over(Window.partitionBy("language_id", "mv").orderBy("phone"))
+    first = m.withColumn("n", place).where(c("n") <= k).groupBy("language_id", "mv").agg(F.array_sort(F.collect_list(F.struct("phone", "ipa", "e"))).alias("phones"))  # k rows
+    named = m.groupBy("language_id", "mv").agg(F.min("ipa").alias("low"), F.max("ipa").alias("high"))
+    kinds = first.join(named, ["language_id", "mv"])
+    both = queries.select("language_id", _vector().alias("qv")).distinct().join(kinds, "language_id")
+    gap = [c("qv")[i] - c("mv")[i] for i in range(len(FEATURES))]
+    both = both.withColumn("shared", sum((g.isNotNull().cast("int") for g in gap), F.lit(0))).where(c("shared") >= SHARED)
+    d2 = sum((F.coalesce(g * g, F.lit(0)) for g in gap), F.lit(0).cast("long"))
     sim = F.greatest(F.lit(0.0), F.lit(1.0) - F.sqrt(d2.cast("double")) / F.lit(1e6) / F.sqrt(c("shared").cast("double")))
     same = F.lit(True)
-    for n in FEATURES:
-        same = same & c(f"q_{n}").eqNullSafe(c(f"m_{n}"))
-    return both.select("id", "phone", "ipa", _strength(c("evidence")).alias("e"), same.alias("same"), fixed(sim).alias("sim")).where(c("sim") >= int(least * 1_000_000))
+    for i in range(len(FEATURES)):
+        same = same & c("qv")[i].eqNullSafe(c("mv")[i])
+    return both.select("language_id", "qv", "phones", "low", "high", same.alias("same"), fixed(sim).alias("sim")).where(c("sim") >= int(least * 1_000_000))
 
 
 def retrieve(queries: DataFrame, inventory: DataFrame, k: int = 5, least: float = MIN_SIMILARITY) -> DataFrame:
@@ -61,13 +71,18 @@ def retrieve(queries: DataFrame, inventory: DataFrame, k: int = 5, least: float
     ``queries`` is (id, language_id, features), ``inventory`` also ipa, evidence; features are maps of names to doubles, missing names are unknown
     and not 0. Fewer than three similar phones abstain, and so do different phones of the greatest similarity. Evidence is the weakest of the
     neighbours; only an equal set of features with attested neighbours is certified, other attested ones are inferred. Ties go to the smaller id.
+    Equal features are compared once: phones and queries meet as the different vectors of a language.
     """
-    pairs = _pairs(queries, inventory, least)
-    top = pairs.groupBy("id", "sim").agg(F.min("ipa").alias("low"), F.max("ipa").alias("high")).groupBy("id").agg(F.max(F.struct("sim", "low", "high")).alias("top"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "phone"))
-    near = pairs.withColumn("place", place).where(c("place") <= k)
-    per = near.groupBy("id").agg(F.count("*").alias("n"), F.sum("sim").alias("total"), F.max("e").alias("e"), F.min_by(F.struct("ipa", "same"), "place").alias("first")).join(top, "id")
-    found = queries.select("id").join(per, "id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    key = ["language_id", "qv"]
+    pairs = _pairs(queries, inventory, least, k)
+    top = pairs.groupBy(*key, "sim").agg(F.min("low").alias("low"), F.max("high").alias("high")).groupBy(*key).agg(F.max(F.struct("sim", "low", "high")).alias("top"))
+    # the k nearest phones are among those of the k nearest vectors, in order of their smallest phones
+    kind = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("sim"), c("phones")[0]["phone"]))
+    near = pairs.withColumn("kind", kind).where(c("kind") <= k).select(*key, "same", "sim", F.explode("phones").alias("p")).select(*key, "same", "sim", "p.*")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("sim"), "phone"))
+    near = near.withColumn("place", place).where(c("place") <= k)
+    per = near.groupBy(*key).agg(F.count("*").alias("n"), F.sum("sim").alias("total"), F.max("e").alias("e"), F.min_by(F.struct("ipa", "same"), "place").alias("first")).join(top, key)
+    found = queries.select("id", "language_id", _vector().alias("qv")).join(per, key, "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     reason = F.when(c("n") < FEWEST, "too_few_similar_phones").when(c("top.low") != c("top.high"), "ambiguous_nearest_phones").otherwise("")
     found = found.withColumn("reason", reason)
     ok = c("reason") == ""

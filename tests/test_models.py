@@ -178,3 +178,23 @@ def test_previews(spark):
     for bad in (3, True, 4.0):
         with pytest.raises(ValueError):
             preview.report(px, bad)
+
+
+def test_equal_phones_are_compared_once_and_all_counted(spark):
+    vectors = [{"voicing": 1.0, "manner": 0.5, "place": 0.25}, {"voicing": 1.0, "manner": 0.5, "place": None, "height": 0.5}, {"voicing": 0.9, "manner": 0.5, "place": 0.25}, {"voicing": 0.9, "manner": 0.4, "place": 0.25}]
+    schema = "id long, language_id long, ipa string, evidence string, features map<string,double>"
+    items = [(i, i % 2, "x" if i == 399 else f"p{i % 4}", ("attested", "reconstructed")[i == 4], vectors[i % 4]) for i in range(400)]
+    inventory = spark.createDataFrame(items, schema)
+    asks = spark.createDataFrame([(q, q % 2, vectors[q % 4]) for q in range(60)] + [(60, None, vectors[0]), (61, 7, vectors[0])], "id long, language_id long, features map<string,double>")
+    assert phones._pairs(asks, inventory, 0.5, 5).count() <= 8
+    got = {r["id"]: r for r in phones.retrieve(asks, inventory).collect()}
+    assert len(got) == 62 and all(got[q]["status"] == "abstain" and got[q]["neighbours"] == 0 for q in (60, 61))
+    for q in range(60):
+        own = [(i, ipa, e) for i, lang, ipa, e, _ in items if lang == q % 2 and i % 4 == q % 4]
+        alone = q % 4 == 1  # its vector has two features that others know
+        r = got[q]
+        if len({ipa for _, ipa, _ in own}) > 1:
+            assert (r["status"], r["reason"], r["ipa"]) == ("abstain", "ambiguous_nearest_phones", None)
+        else:
+            assert (r["status"], r["ipa"], r["neighbours"]) == ("suggest", f"p{q % 4}", 5)
+            assert r["certified"] == (not any(e == "reconstructed" for _, _, e in own[:5])) or alone
