@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quillstone.functions.numeric import channel, luma_scaled
 from quillstone.operators.editing import lab
-from quillstone.operators.raster import resample_box
+from quillstone.operators.raster import sizes
 
 c = F.col
 #: Ten thousand times the greatest luma.
@@ -23,6 +23,8 @@ WHITE = 2_550_000
 MIN_CELL, PERIOD_STRENGTH = 4, 50
 #: Samples of a frame are whole numbers from -SAMPLE to SAMPLE; a frame has at least MIN_SAMPLES.
 SAMPLE, MIN_SAMPLES = 10_000, 32
+#: Cells along each side of an image whose perceptual hash is taken.
+HASH_SIDE = 32
 
 
 def _l() -> Column:
@@ -116,18 +118,27 @@ def threshold_strategy(features: DataFrame, patterns: list[tuple[str, tuple[floa
 def perceptual_hash(px: DataFrame, scale: int = 1 << 15) -> DataFrame:
     """(image_id, hash, hex): 63 bits, set where a low frequency of the 32 x 32 cosine transform is above the median.
 
-    Cosines are rounded to multiples of 1 / ``scale``, so sums are whole numbers and the same on every machine.
+    Cosines are rounded to multiples of 1 / ``scale``, so sums are whole numbers and the same on every machine. The 32 x 32 cells of the box mean are
+    never written out: an axis of at least 32 pixels is cut into cells, one of fewer repeats its pixels, whose cosines are summed beforehand.
     """
-    tiny = resample_box(px, 32, 32).withColumn("l", _l())
-    # one number for each (frequency, place): a table of 8 x 32 from its rule
-    table = F.array(*[F.array(*[F.lit(round(scale * math.cos((2 * i + 1) * u * math.pi / 64))).cast("long") for i in range(32)]) for u in range(8)])
-    rows = tiny.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(7)))).groupBy("image_id", "y", "v").agg(F.sum(c("l") * table[c("v")][c("x")]).alias("part"))
-    all_ = rows.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(7)))).groupBy("image_id", "u", "v").agg(F.sum(c("part") * table[c("u")][c("y")]).alias("sum"))
-    zero = lambda n: F.when(c(n) == 0, F.lit(1.0) / F.sqrt(F.lit(2.0))).otherwise(F.lit(1.0))
-    low = all_.where("u + v > 0").withColumn("k", zero("u") * zero("v") * c("sum").cast("double")).withColumn("place", c("u") * 8 + c("v") - 1)
-    per = low.groupBy("image_id").agg(F.array_sort(F.collect_list("k"))[31].alias("middle"))
-    bit = F.when(c("k") > c("middle"), F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(62) - c("place"))).otherwise(F.lit(0))
-    out = low.join(per, "image_id").groupBy("image_id").agg(F.sum(bit).alias("hash"))
+    side = HASH_SIDE
+    cosine = [[round(scale * math.cos((2 * i + 1) * u * math.pi / 64)) for i in range(side)] for u in range(8)]
+    own = lambda n, at: [i for i in range(side) if i * n // side == at]  # noqa: E731  cells that a place of an axis of n fills
+    rows = [(n, at, [sum(cosine[u][i] for i in own(n, at)) for u in range(8)]) for n in range(1, side + 1) for at in range(n)]
+    table = F.broadcast(px.sparkSession.createDataFrame(rows, "n int, at int, t array<bigint>"))  # 528 rows, a constant
+    # the cell that holds a pixel is the last that begins at or before it
+    cell = lambda at, n: F.when(c(n) >= side, F.expr(f"(({at} + 1) * {side}L - 1) div {n}")).otherwise(c(at)).cast("int")
+    sized = px.join(sizes(px), "image_id").select("image_id", cell("y", "h").alias("y"), cell("x", "w").alias("x"), F.least("h", F.lit(side)).cast("int").alias("h"), F.least("w", F.lit(side)).cast("int").alias("w"), "r", "g", "b")
+    tiny = sized.groupBy("image_id", "h", "w", "y", "x").agg(*[channel(F.sum(n) / F.count("*")).alias(n) for n in "rgb"]).withColumn("l", _l())
+    across = tiny.join(table.select(c("n").alias("w"), c("at").alias("x"), "t"), ["w", "x"])
+    across = across.groupBy("image_id", "h", "y").agg(*[F.sum(c("l") * c("t")[v]).alias(f"p{v}") for v in range(8)])
+    down = across.join(table.select(c("n").alias("h"), c("at").alias("y"), "t"), ["h", "y"])
+    sums = down.groupBy("image_id").agg(*[F.sum(c(f"p{v}") * c("t")[u]).alias(f"s{u * 8 + v}") for u in range(8) for v in range(8) if u + v])
+    zero = lambda n: F.lit(1.0) / F.sqrt(F.lit(2.0)) if n == 0 else F.lit(1.0)
+    low = sums.select("image_id", F.array(*[zero(i // 8) * zero(i % 8) * c(f"s{i}").cast("double") for i in range(1, 64)]).alias("k"))
+    low = low.withColumn("middle", F.array_sort("k")[31])
+    bit = F.transform("k", lambda k, i: F.when(k > c("middle"), F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(62) - i)).otherwise(F.lit(0).cast("long")))
+    out = low.select("image_id", F.aggregate(bit, F.lit(0).cast("long"), lambda s, x: s + x).alias("hash"))
     return out.withColumn("hex", F.lpad(F.lower(F.hex("hash")), 16, "0"))
 
 

@@ -235,3 +235,35 @@ def test_packing_looks_at_sizes_and_not_at_boxes(monkeypatch):
     monkeypatch.setattr(K, "max", lambda *a: tries.append(1) or max(*a), raising=False)
     placed, rest = K.skyline_runs(runs, 32, 16)
     assert len(placed) == 16 and [len(n) for _, _, n in rest] == [100_000 - 16, 100_000] and len(tries) < 500
+
+
+def test_perceptual_hash_of_any_size_without_cells(spark):
+    import math
+
+    from quillstone.operators import perception
+
+    rng = np.random.default_rng(8)
+    shapes, rows = [(1, 1), (10, 10), (32, 32), (40, 7), (70, 33), (3, 97)], []
+    for key, (h, w) in enumerate(shapes):
+        a = rng.integers(0, 256, (h, w, 3))
+        rows += [(key, y, x, *map(int, a[y, x])) for y in range(h) for x in range(w) if (y, x) != (2, 3)]
+    px = spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")
+    found = perception.perceptual_hash(px)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["image_id"]: (r["hash"], r["hex"]) for r in found.collect()}
+    cosine = [[round((1 << 15) * math.cos((2 * i + 1) * u * math.pi / 64)) for i in range(32)] for u in range(8)]
+    for key, (h, w) in enumerate(shapes):
+        own = {(r[1], r[2]): r[3:] for r in rows if r[0] == key}
+        span = lambda i, n: range(i * n // 32, max(i * n // 32 + 1, (i + 1) * n // 32))
+        sums = [[0] * 8 for _ in range(8)]
+        for y in range(32):
+            for x in range(32):
+                if cells := [own[s, t] for s in span(y, h) for t in span(x, w) if (s, t) in own]:
+                    luma = sum(k * round(sum(p[i] for p in cells) / len(cells)) for i, k in enumerate((2126, 7152, 722)))
+                    for u in range(8):
+                        for v in range(8):
+                            sums[u][v] += luma * cosine[u][y] * cosine[v][x]
+        zero = lambda n: 1 / math.sqrt(2) if n == 0 else 1.0
+        ks = [zero(i // 8) * zero(i % 8) * float(sums[i // 8][i % 8]) for i in range(1, 64)]
+        want = sum(1 << (62 - i) for i, k in enumerate(ks) if k > sorted(ks)[31])
+        assert got[key] == (want, f"{want:016x}"), (h, w)
