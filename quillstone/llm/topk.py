@@ -9,8 +9,6 @@ land in one task share the k-th scores found so far; across tasks they start fro
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +20,8 @@ from .common import durable, table
 K, SCALE, EVERY = 20, 64, 20
 #: Vectors in a shard, in a leaf, and queries in a block.
 SHARD, LEAF, BLOCK = 16_384, 128, 1_024
+#: Blocks that a shard is sent for at once.
+CHUNK = 16
 #: Blocks whose k-th scores a task remembers from one shard to the next.
 REMEMBERED = 4096
 LONG = np.iinfo(np.int64)
@@ -163,34 +163,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     out = "block int, id long, v binary, copies long, own long, best array<bigint>, who array<bigint>"
     none, last = LONG.min, LONG.max
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        shard, tree = None, None
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                qid, q = unpacked(row.qids, row.q)
-                if row.shard != shard:
-                    shard, tree = row.shard, BallTree(*unpacked(row.ids, row.x))
-                best, who = np.full((len(q), most), none), np.full((len(q), most), last)
-                if row.floor is not None:  # scores to beat; an equal one still counts
-                    best[:] = np.frombuffer(row.floor, np.int64)[:, None]
-                if row.block in held:
-                    best = np.maximum(best, held[row.block][:, None])
-                tree.search(q, best, who, most)
-                if len(held) >= REMEMBERED:
-                    held.clear()
-                held[row.block] = best[:, -1].copy()
-                own = [int(products(r[None], r[None])[0, 0]) for r in q]
-                yield pd.DataFrame({"block": row.block, "id": qid, "v": [r.tobytes() for r in q], "copies": np.frombuffer(row.copies, np.int64), "own": own, "best": best.tolist(), "who": who.tolist()})
-
-    def meet(pairs: DataFrame) -> DataFrame:
-        return pairs.mapInPandas(search, out)
+    held: dict[int, np.ndarray] = {}  # each task gets its own copy
+
+    def search(asked: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        tree = BallTree(*unpacked(shard["ids"][0], shard["x"][0])) if len(shard) and len(asked) else None
+        for row in asked.itertuples(index=False) if tree is not None else ():
+            qid, q = unpacked(row.qids, row.q)
+            best, who = np.full((len(q), most), none), np.full((len(q), most), last)
+            if row.floor is not None:  # scores to beat; an equal one still counts
+                best[:] = np.frombuffer(row.floor, np.int64)[:, None]
+            if row.block in held:
+                best = np.maximum(best, held[row.block][:, None])
+            tree.search(q, best, who, most)
+            if len(held) >= REMEMBERED:
+                held.clear()
+            held[row.block] = best[:, -1].copy()
+            own = [int(products(r[None], r[None])[0, 0]) for r in q]
+            found.append(pd.DataFrame({"block": row.block, "id": qid, "v": [r.tobytes() for r in q], "copies": np.frombuffer(row.copies, np.int64), "own": own, "best": best.tolist(), "who": who.tolist()}))
+        return pd.concat(found, ignore_index=True) if found else pd.DataFrame({n: [] for n in ("block", "id", "v", "copies", "own", "best", "who")}, dtype=object)
+
+    def meet(pairs: DataFrame, of_shard: Column, chunks: int) -> DataFrame:
+        """Each block of ``pairs`` with its shard: a shard is sent once for every CHUNK blocks and never written beside each of them, nor broadcast."""
+        shards_ = shard_rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        pairs = pairs.select("shard", F.floor(of_shard / CHUNK).cast("int").alias("chunk"), "block", "qids", "q", "copies", "floor")
+        return pairs.groupBy("shard", "chunk").cogroup(shards_.groupBy("shard", "chunk")).applyInPandas(search, out)
 
     shard_rows = trees.select(F.col("cell").alias("shard"), "ids", "x")
     ask_rows = asks.select(F.col("cell").alias("block"), F.col("ids").alias("qids"), F.col("x").alias("q"), "copies")
     # first pass: every block with one shard, for the scores to beat
-    first = ask_rows.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).join(shard_rows, "shard").withColumn("floor", F.lit(None).cast("binary"))
-    first = durable(meet(first.select("block", "shard", "qids", "q", "copies", "ids", "x", "floor")), "top-first")
+    first = ask_rows.withColumn("shard", F.pmod(F.col("block"), F.lit(shards))).withColumn("floor", F.lit(None).cast("binary"))
+    first = durable(meet(first, F.col("block") / shards, -(-blocks // (shards * CHUNK))), "top-first")
     done = first
     if shards > 1:
 
@@ -200,8 +203,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
         ready = first.groupBy("block").applyInPandas(floors, "block int, qids binary, q binary, copies binary, floor binary")
         ready = ready.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where(F.col("shard") != F.pmod(F.col("block"), F.lit(shards)))
-        rest = ready.join(shard_rows.drop("copies"), "shard").select("block", "shard", "qids", "q", "copies", "ids", "x", "floor").sortWithinPartitions("shard", "block")
-        done = first.union(durable(meet(rest), "top-rest"))
+        done = first.union(durable(meet(ready, F.col("block"), -(-blocks // CHUNK)), "top-rest"))
     rows = done.select("id", "v", "copies", "own", F.explode(F.arrays_zip("best", "who")).alias("z")).select("id", "v", "copies", "own", F.col("z.best").alias("score"), F.col("z.who").alias("vec_id")).where(F.col("vec_id") != last)
     order = Window.partitionBy("id", "v").orderBy(F.desc("score"), "vec_id").rowsBetween(Window.unboundedPreceding, 0)
     mine = (F.col("vec_id") == F.col("id")) & (F.col("score") == F.col("own"))

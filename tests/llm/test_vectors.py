@@ -146,3 +146,25 @@ def test_products_are_exact_at_any_size():
 
     with pytest.raises(OverflowError):
         K.products(np.array([[1 << 40]]), np.array([[1 << 40]]))
+
+
+def test_top_k_sends_a_shard_once_for_many_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from quillstone.llm import topk
+
+    for name, n in (("SHARD", 40), ("BLOCK", 6), ("CHUNK", 2), ("LEAF", 8)):
+        monkeypatch.setattr(topk, name, n)
+    plans = []
+    keep = topk.durable
+    monkeypatch.setattr(topk, "durable", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name))
+    x = np.random.default_rng(4).integers(-9, 10, (150, 5))
+    vectors = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<long>")
+    got = {}
+    for r in topk.top_k(vectors, vectors.where("id % 2 = 0"), 4).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert {"top-first", "top-rest"} <= {n for n, _ in plans}
+    assert not any("Join" in p for n, p in plans if n in ("top-first", "top-rest"))  # a join writes a shard beside each block, or broadcasts all
+    for i in range(0, 150, 2):
+        want = sorted((-int(x[i] @ x[j]), j) for j in range(150) if j != i)[:4]
+        assert [got[i][n] for n in range(1, 5)] == [(j, -s) for s, j in want]
