@@ -211,6 +211,26 @@ def test_lexical_in_small_blocks_makes_no_pairs(spark, monkeypatch, num):
     assert got == sorted(want) and any(r[0] == 150 for r in got)
 
 
+@pytest.mark.parametrize("num, dense, many", [(15, 0.3, 200_000), (34, 2, 200_000), (34, 0.05, 20)])
+def test_lexical_where_every_row_asks(spark, monkeypatch, num, dense, many):
+    for name, n in (("EACH_BLOCK", 40), ("EACH_STEP", 7), ("EACH_HELD", 20), ("EACH_DENSE", dense), ("EACH_TOKENS", 9), ("EACH_ROWS", many)):
+        monkeypatch.setattr(N, name, n)
+    rng = random.Random(6)
+    words = ["", "a", "\x00", "\x01b", "é", *(f"w{i}" for i in range(24))]
+    rows = [(i, rng.choice(["x", "x", "y", None]), sorted(set(rng.choices(words, k=rng.choice([0, 1, 4, 12])))) + [f"own{i}"] * (i % 5 == 0)) for i in range(200)]
+    rows += [(200, "x", [f"v{i}" for i in range(700)]), (201, "x", [f"v{i}" for i in range(20, 720)]), (202, "x", None), (None, "x", ["a"]), (203, "z", ["a"])]
+    weight = {i: rng.choice([1000, 400]) for i in range(0, 202, 2)}
+    found = N.lexical_each(spark.createDataFrame(rows, "id long, domain string, tokens array<string>"), spark.createDataFrame(list(weight.items()), "id long, weight int"), 200, k=4, num=num)
+    want = []
+    for i, d, t in rows:
+        best = []
+        for j, e, u in rows:
+            if None not in (i, j, d, t, u) and d == e and i != j and (s := len({*t} & {*u})) and s * 100 >= (a := len({*t} | {*u})) * num:
+                best.append((-(s * 1000 * weight.get(j, 200) // a), -(s * 1_000_000 // a), j))
+        want += [(i, r, j, -v, -s) for r, (s, v, j) in enumerate(sorted(best)[:4], 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 80
+
+
 def test_packing_looks_at_sizes_and_not_at_boxes(monkeypatch):
     def plain(boxes, width, height):
         line, placed, rest = [(0, 0, width)], {}, []

@@ -67,3 +67,7 @@ def test_gravity_halfway_between_millionths(spark, tmp_path):
     keys = [0, 80907, 250185, 289824, 331954, 355889, 395528]
     got, want = odd(spark, tmp_path, "model_gravity", [(k,) for k in keys], "p_partkey long", "part")
     assert got == want
+
+
+def test_lexical_topk_asks_for_every_document(spark, small):
+    assert any(r["query_id"] % 50 for r in catalog.QUERIES["lexical_topk"](spark, small).collect())
