@@ -71,3 +71,8 @@ def test_gravity_halfway_between_millionths(spark, tmp_path):
 
 def test_lexical_topk_asks_for_every_document(spark, small):
     assert any(r["query_id"] % 50 for r in catalog.QUERIES["lexical_topk"](spark, small).collect())
+
+
+def test_lexical_verdict_has_every_document(spark, small, duck):
+    found = catalog.QUERIES["lexical_verdict"](spark, small)
+    assert sorted(r["query_id"] for r in found.collect()) == [x for (x,) in duck.sql("SELECT doc_id FROM documents ORDER BY 1").fetchall()]
